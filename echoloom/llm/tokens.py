@@ -76,7 +76,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 1 << 20):
             n = count(path, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(np.array(n, np.int64))], ["doc_id", "n_bytes", "n_tokens"])
 
