@@ -52,6 +52,18 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def to_python(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """df, with its session's Arrow batches bounded to ``most`` bytes where they were larger.
+
+    Ten thousand long texts in one batch would fill a worker; the setting stays for the session.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key)).rstrip("b")
+    if not now.isdigit() or int(now) <= 0 or int(now) > most:
+        conf.set(key, str(most))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most`` bytes of the string column, one row at least."""
     for batch in batches:
@@ -93,7 +105,7 @@ class Pieces:
     their batch. ``before`` is put before every piece. Values are lengths or little-endian ids.
     """
 
-    GENERATION, SHORT, CALL = 450_000, 48, 1 << 20
+    GENERATION, SHORT, CALL = 220_000, 48, 1 << 20
 
     def __init__(self, path: str, lengths: bool, before: str = ""):
         self.t, self.lengths, self.before = tokenizer(path), lengths, before

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, slices
+from .common import packed, slices, to_python
 
 #: Hashed features; documents of each language in the fitting sample; the most languages there may be.
 BUCKETS, PER_LANGUAGE, LANGUAGES = 8192, 240, 512
@@ -101,7 +101,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             got = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([a.astype("<u2").tobytes() for a, _ in got]), pa.array([v.astype("<f4").tobytes() for _, v in got])], ["lang", "at", "v"])
 
-    got = sorted(sample.mapInArrow(run, "lang string, at binary, v binary").collect(), key=lambda r: (r["lang"], r["at"], r["v"]))
+    got = sorted(to_python(sample).mapInArrow(run, "lang string, at binary, v binary").collect(), key=lambda r: (r["lang"], r["at"], r["v"]))
     languages = sorted({r["lang"] for r in got})
     code = codewords(len(languages))
     x = np.zeros((len(got), BUCKETS), np.float32)
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             cols = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column("_row"), *cols], ["_row", "lang_pred", "score", "ambiguous"])
 
-    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    return to_python(rows).mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
 def may_learn(doc_id: str = "doc_id"):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_of, slices
+from .common import cut, pieces_of, slices, to_python
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, doc_id: str, text: str, en
 
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return named.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return to_python(named).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:

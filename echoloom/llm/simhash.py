@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_join, cut, packed, row_key, slices, small
+from .common import bounded_join, cut, packed, row_key, slices, small, to_python
 from .graph import components
 
 FAN = 16
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return named.withColumn("rk", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(run, f"doc_id {kind}, rk long, fp long")
+    return to_python(named.withColumn("rk", row_key(F.col("doc_id"), F.col("text")))).mapInArrow(run, f"doc_id {kind}, rk long, fp long")
 
 
 def _gray_rank(x: np.ndarray) -> np.ndarray:
