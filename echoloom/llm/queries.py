@@ -81,7 +81,7 @@ ORACLE: dict[str, str] = {
         WITH RECURSIVE v AS (
           SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
-        unit AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM v),
+        unit AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
         links AS (
           SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id
           WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
