@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.signal import db_to_linear, doubling, gain, quantized
 
-CLIP = Window.partitionBy("clip_id")
+def clip_window():
+    return Window.partitionBy("clip_id")
 
 
 def sized(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("n", F.count("*").over(CLIP))
+    return samples.withColumn("n", F.count("*").over(clip_window()))
 
 
 def chunk_energy(samples: DataFrame, rate: int) -> DataFrame:
@@ -55,7 +56,7 @@ def normalize_volume(samples: DataFrame, target_db: float, use_rms: bool = True)
 def resample_linear(samples: DataFrame, rate: int, target: int) -> DataFrame:
     """Linear interpolation: each sample and its next meet by index, not by a join over ranges."""
     step = rate / target
-    x = sized(samples).withColumn("next", F.coalesce(F.lead("v").over(CLIP.orderBy("idx")), F.col("v")))
+    x = sized(samples).withColumn("next", F.coalesce(F.lead("v").over(clip_window().orderBy("idx")), F.col("v")))
     n_out = F.floor(F.col("n") * (target / rate))
     # the outputs whose place falls between this sample and the next
     lo, hi = F.ceil(F.col("idx") / step - 1e-9), F.ceil((F.col("idx") + 1) / step - 1e-9) - 1

@@ -77,7 +77,7 @@ def csv_rows(groups: DataFrame) -> DataFrame:
     no = F.row_number().over(Window.orderBy(F.desc("avg_similarity"), "group_id"))
     files = "file_paths" if "file_paths" in groups.columns else "file_ids"
     numbered = groups.withColumn("group_no", no)
-    return numbered.select("group_no", F.format_string("%.2f%%", 100 * F.col("avg_similarity")).alias("similarity"), F.explode(files).alias("file"))
+    return numbered.select("group_no", F.format_string("%.2f%%", F.floor(10000 * F.col("avg_similarity") + 0.5) / 100).alias("similarity"), F.explode(files).alias("file"))
 
 
 def write_json(groups: DataFrame, path: str) -> None:

@@ -315,7 +315,7 @@ ORACLE: dict[str, str] = {
     "duplicate_edges": f"WITH RECURSIVE {_MATCH} SELECT a, b, round(similarity_score, 9) AS similarity_score, best_offset, matched_segments, round(bit_error_rate, 9) AS bit_error_rate, is_duplicate FROM match WHERE is_duplicate",
     "duplicate_groups": f"WITH RECURSIVE {_GROUP} SELECT group_id, array_to_string(ids, ',') AS file_ids, avg_similarity FROM groups",
     "group_summary": f"WITH RECURSIVE {_GROUP} SELECT count(*) AS n_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_files, CAST(coalesce(sum(n), 0) - count(*) AS BIGINT) AS savings FROM groups",
-    "groups_csv": f"WITH RECURSIVE {_GROUP} SELECT row_number() OVER (ORDER BY avg_similarity DESC, group_id) AS group_no, printf('%.2f%%', 100 * avg_similarity) AS similarity, ids FROM groups",
+    "groups_csv": f"WITH RECURSIVE {_GROUP} SELECT row_number() OVER (ORDER BY avg_similarity DESC, group_id) AS group_no, printf('%.2f%%', floor(10000 * avg_similarity + 0.5) / 100) AS similarity, ids FROM groups",
     "hamming_embedding_pairs": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, len(list_filter(list_zip(a.s, b.s), lambda z: z[1] <> z[2])) AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE len(list_filter(list_zip(a.s, b.s), lambda z: z[1] <> z[2])) <= 3",
     "chunk_energy": f"WITH {_CLIP} SELECT clip_id, idx // 4 AS chunk, round(avg(v * v), 9) AS energy FROM s GROUP BY ALL",
     "silence_bounds": f"WITH {_BOUNDS} SELECT * FROM bounds",

@@ -7,7 +7,7 @@ import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +66,20 @@ def encode(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
     return out.getvalue()
 
 
-def _each(files: DataFrame, make: Callable[[str, bytes], dict], schema: str, columns: list[str]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 8):  # decoded clips are large
-                part = pdf.iloc[at : at + 8]
-                yield pd.DataFrame([make(p, c) for p, c in zip(part["path"], part["content"], strict=True)], columns=columns)
+_KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32()), "array<bigint>": pa.list_(pa.int64())}
 
-    return files.select("path", "content").mapInPandas(run, schema)
 
+def _each(files: DataFrame, make: Callable[[str, bytes], dict], schema: str) -> DataFrame:
+    fields = [c.split() for c in schema.split(", ")]
 
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 8):  # decoded clips are large
+                part = b.slice(at, 8)
+                rows = [make(p, c) for p, c in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _KINDS[k]) for n, k in fields], [n for n, _ in fields])
+
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def clips(files: DataFrame, prepare: PreprocessConfig | None = None) -> DataFrame:
@@ -94,7 +96,7 @@ def clips(files: DataFrame, prepare: PreprocessConfig | None = None) -> DataFram
             x, rate = signal.prepare(x, rate, prepare)
         return {"file_path": path, "samples": x.astype(np.float32), "sample_rate": rate, "channels": 1, "frames": len(x), "duration": len(x) / rate, "original_duration": original}
 
-    return _each(files, make, CLIP, _names(CLIP))
+    return _each(files, make, CLIP)
 
 
 def metadata(files: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def metadata(files: DataFrame) -> DataFrame:
         n = len(raw) // channels
         return {"file_path": path, "sample_rate": rate, "channels": channels, "frames": n, "duration": n / rate, "supported": True}
 
-    return _each(files, make, schema, _names(schema))
+    return _each(files, make, schema)
 
 
 @provider("hk32")
@@ -152,5 +154,5 @@ def fingerprints(files: DataFrame, algorithm: str = "hk32", prepare: PreprocessC
         except ValueError as e:
             return {"file_path": path, "error": str(e)}
 
-    made = _each(files, make, FINGERPRINT.removeprefix("file_id bigint, "), _names(FINGERPRINT)[1:])
+    made = _each(files, make, FINGERPRINT.removeprefix("file_id bigint, "))
     return made.select((F.row_number().over(Window.orderBy("file_path")) - 1).cast("bigint").alias("file_id"), "file_path", "data", "sample_rate", "duration", "error")
