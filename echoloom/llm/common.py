@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 from collections.abc import Iterator
 
@@ -97,6 +98,9 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+SIGNS = string.punctuation
+
+
 class Pieces:
     """What a vocabulary makes of pieces of text that it encodes apart from each other.
 
@@ -105,7 +109,7 @@ class Pieces:
     their batch. ``before`` is put before every piece. Values are lengths or little-endian ids.
     """
 
-    GENERATION, SHORT, CALL = 220_000, 48, 1 << 20
+    GENERATION, SHORT, CALL = 400_000, 48, 1 << 19
 
     def __init__(self, path: str, lengths: bool, before: str = ""):
         self.t, self.lengths, self.before = tokenizer(path), lengths, before
@@ -127,8 +131,20 @@ class Pieces:
         return out
 
     def _found(self, pieces: set[str]) -> dict[str, object]:
-        new, call, held = {}, [], 0
+        """Values of unseen pieces. A letter and the signs after it are always apart, so "word," is "word" and ","."""
+        new, joint = {}, []
+        listed: set[str] = set()
         for piece in pieces:
+            if piece in self.old:
+                new[piece] = self.old[piece]
+            elif not self.before and (stem := piece.rstrip(SIGNS)) and len(stem) < len(piece) and stem[-1].isalpha() and "<|" not in piece:
+                tail = piece[len(stem) :]
+                joint.append((piece, stem, tail))
+                listed.update(p for p in (stem, tail) if p not in self.young)
+            else:
+                listed.add(piece)
+        call, held = [], 0
+        for piece in listed.difference(new):
             if piece in self.old:
                 new[piece] = self.old[piece]
             elif "<|" in piece or len(piece) > 4096 or not piece:
@@ -142,7 +158,10 @@ class Pieces:
                     call, held = [], 0
         if call:
             new.update(self._many(call))
-        self.young.update((p, v) for p, v in new.items() if len(p) <= self.SHORT)
+        young = self.young
+        for piece, stem, tail in joint:
+            new[piece] = (new[stem] if stem in new else young[stem]) + (new[tail] if tail in new else young[tail])
+        young.update((p, v) for p, v in new.items() if len(p) <= self.SHORT)
         return new
 
     def _many(self, listed: list[str]) -> Iterator[tuple[str, object]]:

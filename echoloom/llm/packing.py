@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, doc_id: str, text: str, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 3 << 20):
             ids, rows = b.column("doc_id"), []
             for i, own_ids in enumerate(encode(path, b.column("text").to_pylist())):
                 data = own_ids + end
