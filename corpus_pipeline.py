@@ -37,7 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces placed in sequences of at most 2048 tokens."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), 2048)
+    # workers also hold what earlier stages left, so this stage remembers less than the query alone
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), 2048, remember=220_000, slice_bytes=1 << 20)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("redact_pii", redact_pii), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]

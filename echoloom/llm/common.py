@@ -113,6 +113,7 @@ class Pieces:
 
     def __init__(self, path: str, lengths: bool, before: str = ""):
         self.t, self.lengths, self.before = tokenizer(path), lengths, before
+        self.generation = self.GENERATION
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
         self.mark = "<|endoftext|>"
@@ -120,7 +121,7 @@ class Pieces:
 
     def __call__(self, flat: list[str]) -> list:
         """The value of each piece."""
-        if len(self.young) > self.GENERATION:
+        if len(self.young) > self.generation:
             self.old, self.young = self.young, {}
         out = list(map(self.young.get, flat))
         missing = [i for i, v in enumerate(out) if v is None]
@@ -181,9 +182,10 @@ class Pieces:
 _PIECES: dict[tuple[str, bool, str], Pieces] = {}
 
 
-def pieces_of(path: str, lengths: bool, before: str = "") -> Pieces:
-    """The worker's own memory of pieces, shared by its tasks."""
+def pieces_of(path: str, lengths: bool, before: str = "", generation: int | None = None) -> Pieces:
+    """The worker's own memory of pieces, shared by its tasks; generation bounds it otherwise than by default."""
     key = (path, lengths, before)
     if key not in _PIECES:
         _PIECES[key] = Pieces(*key)
+    _PIECES[key].generation = generation or Pieces.GENERATION
     return _PIECES[key]

@@ -38,7 +38,7 @@ def _chunks(text: str) -> list[str]:
     return text.split()
 
 
-def encode(path: str, texts: list[str | None]) -> list[bytes]:
+def encode(path: str, texts: list[str | None], remember: int | None = None) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
     For vocabularies that put text in lower case and whose pre-tokenizer drops white space and
@@ -49,7 +49,7 @@ def encode(path: str, texts: list[str | None]) -> list[bytes]:
     for t in texts:
         flat += _chunks(t) if t else ()
         ends.append(len(flat))
-    ids = pieces_of(path, lengths=False)(flat)
+    ids = pieces_of(path, lengths=False, generation=remember)(flat)
     return [b"".join(ids[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
 
 
@@ -127,15 +127,15 @@ def _slots(made: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str,
     return {"at": a[:, 0], "rank": a[:, 1], "base": a[:, 2], "offset": a[:, 3]}
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, doc_id: str, text: str, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int, doc_id: str, text: str, end_id: int, remember: int, slice_bytes: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth): nth counts pieces of a length within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
-        for b in slices(batches, "text", 3 << 20):
+        for b in slices(batches, "text", slice_bytes):
             ids, rows = b.column("doc_id"), []
-            for i, own_ids in enumerate(encode(path, b.column("text").to_pylist())):
+            for i, own_ids in enumerate(encode(path, b.column("text").to_pylist(), remember)):
                 data = own_ids + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     own = data[at : at + 4 * capacity]
@@ -153,15 +153,16 @@ def pieces(docs: DataFrame, path: str, capacity: int, doc_id: str, text: str, en
     return to_python(named).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, remember: int = 400_000, slice_bytes: int = 3 << 20) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece.
 
     path: a vocabulary file of the tokenizers library whose pre-tokenizer drops white space. A
     document is its ids and then ``end_id``; null and empty texts are that id alone. Only
     documents longer than ``capacity`` are cut. Ids may be null or repeated: every row is packed.
-    An empty table gives no rows; other columns are not read.
+    An empty table gives no rows; other columns are not read. remember (pieces, twice) and
+    slice_bytes bound a worker's memory at the cost of encoding more often; results don't depend on them.
     """
-    cuts = cut(pieces(docs, path, capacity, doc_id, text, end_id))
+    cuts = cut(pieces(docs, path, capacity, doc_id, text, end_id, remember, slice_bytes))
     by_part = cut(cuts.groupBy("length", "part").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     slot = _slots(plan(counts, capacity), capacity)
