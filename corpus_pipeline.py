@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest doc_id."""
-    return simhash.one_of_each(docs, width=3, distance=2)
+    """One document of each group of near-duplicates, five-word shingles at 0.8 or more: the one of smallest doc_id."""
+    return simhash.one_of_similar(docs, width=5, least=0.8)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ soon as they exceed the distance. Copies of a text have one fingerprint and take
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,11 @@ from .graph import components
 FAN = 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash, signed, of word shingles with repeats; 0 for null or a text without words."""
+def _hashed(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of a text's word shingles in parts; the whole sequence where it has fewer words, nothing where it has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -37,12 +39,31 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    total, n, digest = np.zeros(64, np.int64), len(starts), xxhash.xxh64_intdigest
-    for i in range(0, n, 1 << 15):
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[i : i + (1 << 15)].tolist(), ends[i : i + (1 << 15)].tolist(), strict=True)], np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view(np.int64)[0])
+    digest = xxhash.xxh64_intdigest
+    for i in range(0, len(starts), 1 << 15):
+        yield np.array([digest(joined[s:e], 42) for s, e in zip(starts[i : i + (1 << 15)].tolist(), ends[i : i + (1 << 15)].tolist(), strict=True)], np.uint64)
+
+
+def _margins(text: str | None, width: int, words: int) -> np.ndarray:
+    """For each of 64 * words bits: shingles with that bit less those without. Words after the first are mixed from the same hash."""
+    total, n = np.zeros((words, 64), np.int64), 0
+    for h in _hashed(text, width):
+        for k in range(words):
+            bits = np.unpackbits((_mixed(h, k) if k else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[k] += bits.sum(0, dtype=np.int64)
+        n += len(h)
+    return 2 * total.reshape(-1) - n
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    h = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash, signed, of word shingles with repeats; 0 for null or a text without words."""
+    return int(np.packbits(_margins(text, width, 1) > 0, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -122,8 +143,11 @@ class _Union:
 
 
 def hierarchy(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels from the leaves up, each (pattern, mask): the bits that FAN nodes of the level below share."""
-    levels = [(codes, np.full(len(codes), ~np.uint64(0)))]
+    """Levels from the leaves up, each (pattern, mask): the bits that FAN nodes of the level below share.
+
+    codes: one 64-bit word each, or a row of several.
+    """
+    levels = [(codes, np.full(codes.shape, ~np.uint64(0)))]
     while len(levels[-1][0]) > FAN:
         pattern, mask = levels[-1]
         at = np.arange(0, len(pattern), FAN)
@@ -132,11 +156,16 @@ def hierarchy(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return levels
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    n = np.bitwise_count(x)
+    return n if n.ndim == 1 else n.sum(1, dtype=np.int64)
+
+
 def search(levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(query index, leaf index) of all pairs within the distance, from the top level down."""
     pattern, mask = levels[-1]
     q, node = np.repeat(np.arange(len(queries)), len(pattern)), np.tile(np.arange(len(pattern)), len(queries))
-    far = np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
+    far = _bits((queries[q] ^ pattern[node]) & mask[node])
     for k in range(len(levels) - 1, -1, -1):
         keep = far <= distance
         q, node, far = q[keep], node[keep], far[keep]
@@ -145,9 +174,9 @@ def search(levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, dis
         below, own = levels[k - 1]
         child = node[:, None] * FAN + np.arange(FAN)
         real = child < len(below)
-        above = np.broadcast_to(levels[k][1][node][:, None], child.shape)[real]
+        parent = np.broadcast_to(node[:, None], child.shape)[real]
         q, far, node = np.broadcast_to(q[:, None], child.shape)[real], np.broadcast_to(far[:, None], child.shape)[real], child[real]
-        far = far + np.bitwise_count((queries[q] ^ below[node]) & own[node] & ~above)  # only bits not counted above
+        far = far + _bits((queries[q] ^ below[node]) & own[node] & ~levels[k][1][parent])  # only bits not counted above
     return q, node
 
 
@@ -225,6 +254,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return _resolved(docs, doc_id, text, width, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _only(docs: DataFrame, kept: DataFrame, doc_id: str, text: str, broadcast_rows: int) -> DataFrame:
+    """The rows of docs whose row key is in kept (rk, _n), once each."""
+    rows = packed(docs, rk=row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    once = bounded_join(rows, kept.where("_n = 1"), "rk", "left_semi", broadcast_rows).select("_row.*")
+    again = kept.where("_n > 1")
+    if small(again, 0):
+        return once
+    repeats = bounded_join(rows, again, "rk", "left_semi", broadcast_rows).groupBy("rk").agg(F.first("_row").alias("_row"))
+    return once.unionAll(repeats.select("_row.*"))
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2, broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
@@ -233,10 +273,198 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     too many to broadcast, or a winner is repeated.
     """
     kept = cut(_resolved(docs, doc_id, text, width, distance).where("rk = winner").groupBy("rk").agg(F.count("*").alias("_n")))
-    rows = packed(docs, rk=row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    once = bounded_join(rows, kept.where("_n = 1"), "rk", "left_semi", broadcast_rows).select("_row.*")
-    again = kept.where("_n > 1")
-    if small(again, 0):
-        return once
-    repeats = bounded_join(rows, again, "rk", "left_semi", broadcast_rows).groupBy("rk").agg(F.first("_row").alias("_row"))
-    return once.unionAll(repeats.select("_row.*"))
+    return _only(docs, kept, doc_id, text, broadcast_rows)
+
+
+@dataclass(frozen=True)
+class Wide:
+    """Near copies by wide fingerprints: 64 * words bits, linked within ``radius`` and then verified on the texts.
+
+    Fingerprints of texts at similarity 0.8 differ in 39 of 256 bits on average and in 52 almost
+    never. Each is filed in ``tables`` cells of ``key_bits`` bits, and in the ``probes`` - 1 cells
+    that flipping its least certain key bits gives. A larger corpus wants more key bits, no more
+    rows. Nodes above ``node_rows`` are split into pairs of chunks, texts with more than
+    ``text_links`` links are dealt out by salt.
+    """
+
+    words: int = 4
+    radius: int = 52
+    tables: int = 8
+    key_bits: int = 20
+    probes: int = 8
+    node_rows: int = 16_384
+    text_links: int = 256
+
+
+#: Sets of at most three of the six least certain bits.
+_FLIPS = np.array([[i in c for i in range(6)] for r in range(4) for c in combinations(range(6), r)], np.int64)
+
+
+def cells(margins: np.ndarray, w: Wide) -> np.ndarray:
+    """The cells of a fingerprint: table, then key bits, for each table the likeliest under noise first."""
+    z = margins[: w.tables * w.key_bits].reshape(w.tables, w.key_bits)
+    order = np.argsort(np.abs(z), axis=1, kind="stable")[:, :6]
+    cost = np.take_along_axis(np.abs(z), order, 1) @ _FLIPS.T
+    chosen = _FLIPS[np.argsort(cost, axis=1, kind="stable")[:, : w.probes]]
+    flips = (chosen << order[:, None, :]).sum(2)
+    base = ((z > 0).astype(np.int64) << np.arange(w.key_bits)).sum(1)
+    return ((np.arange(w.tables)[:, None] << w.key_bits) | (base[:, None] ^ flips)).reshape(-1)
+
+
+def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
+    """Indexes of edges of a minimum spanning forest: it connects at every distance what all the edges connect."""
+    of, out = np.arange(n), []
+    for d in np.unique(far):
+        at = np.flatnonzero(far == d)
+        while len(at):
+            ra, rb = of[a[at]], of[b[at]]
+            apart = ra != rb
+            at, hi, lo = at[apart], np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart]
+            roots, first = np.unique(hi, return_index=True)  # every root is hooked once, to a smaller one
+            out.append(at[first])
+            of[roots] = lo[first]
+            while True:
+                up = of[of]
+                if (up == of).all():
+                    break
+                of = up
+    return np.concatenate(out) if out else np.empty(0, int)
+
+
+def _near(key: np.ndarray, sig: np.ndarray, radius: int) -> pa.RecordBatch:
+    """Forest edges within the nodes at hand. key: sorted; sig: words of each fingerprint."""
+    order = np.lexsort((_gray_rank(sig[:, 0]), key))
+    key, sig = key[order], sig[order]
+    edge = np.flatnonzero(np.diff(key)) + 1
+    starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
+    sizes = ends - starts
+    rows, a, b, far = np.repeat(sizes <= FAN, sizes), [], [], []
+    for step in range(1, FAN):
+        i = np.flatnonzero(rows[:-step] & (key[step:] == key[:-step])) if len(key) > step else np.empty(0, int)
+        if not len(i):
+            break
+        d = _bits(sig[i] ^ sig[i + step])
+        near = d <= radius
+        a.append(i[near])
+        b.append(i[near] + step)
+        far.append(d[near])
+    held = [np.concatenate(x) if x else np.empty(0, int) for x in (a, b, far)]
+    for s, e in zip(starts[sizes > FAN], ends[sizes > FAN], strict=True):
+        levels, chunk = hierarchy(sig[s:e]), max(1, 500_000 // int(e - s))
+        for i in range(int(s), int(e), chunk):
+            q, leaf = search(levels, sig[i : min(e, i + chunk)], radius)
+            up = q + i < leaf + s
+            q, leaf = q[up] + i, leaf[up] + s
+            held = [np.concatenate((x, y)) for x, y in zip(held, (q, leaf, _bits(sig[q] ^ sig[leaf])), strict=True)]
+            if len(held[0]) > 1_000_000:
+                at = forest(*held, len(key))
+                held = [x[at] for x in held]
+    at = forest(*held, len(key))
+    raw = [pa.array([x.tobytes() for x in sig[held[k][at]]], pa.binary()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(raw, ["a", "b"])
+
+
+def _near_nodes(w: Wide):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sig, last = np.empty(0, np.int64), np.empty((0, w.words), np.uint64), None
+        for b in batches:
+            part = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi")], 1)
+            new = np.ones(len(part), bool)
+            new[1:] = (part[1:] != part[:-1]).any(1)
+            new[0] = last is None or (part[0] != last).any()
+            key = np.concatenate((key, (key[-1] if len(key) else 0) + np.cumsum(new)))
+            sig = np.concatenate((sig, np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(-1, w.words)))
+            last = part[-1]
+            if len(key) < 50_000:
+                continue
+            if whole := int(np.searchsorted(key, key[-1])):
+                yield _near(key[:whole], sig[:whole], w.radius)
+                key, sig = key[whole:], sig[whole:]
+        if len(key):
+            yield _near(key, sig, w.radius)
+
+    return run
+
+
+def near_links(classes: DataFrame, w: Wide = Wide()) -> DataFrame:  # noqa: B008
+    """(a, b): pairs of fingerprints that connect, at every distance up to the radius, what all pairs connect.
+
+    classes: distinct ``sig`` with its ``cells``.
+    """
+    filed = classes.select("sig", F.explode("cells").alias("key"))
+    full = cut(filed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > w.node_rows))
+    dealt = filed.select("key", "sig", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    if not small(full, 0):
+        chunks = full.select("key", F.ceil(F.col("rows") / w.node_rows).cast("int").alias("m"))
+        of = bounded_join(filed, chunks, "key", "left", 100_000).withColumn("m", F.coalesce("m", F.lit(1)))
+        of = of.withColumn("part", F.pmod(F.xxhash64("sig"), "m").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        dealt = of.select("key", "sig", F.least("part", "i").alias("lo"), F.greatest("part", "i").alias("hi"))
+    met = to_python(dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi"))
+    return met.mapInArrow(_near_nodes(w), "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def similarity(a: str | None, b: str | None, width: int = 5) -> float:
+    """Jaccard similarity of two texts' word shingles; 1 where neither has words."""
+    x, y = (np.unique(np.concatenate([np.empty(0, np.uint64), *_hashed(t, width)])) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float, w: Wide) -> DataFrame:
+    """The pairs (a, b, ra, rb) whose texts have the similarity. texts: rk, text. A text with many links is copied to as many tasks."""
+    busy = cut(pairs.select(F.col("rb").alias("rk")).groupBy("rk").agg(F.count("*").alias("n")))
+    salted = texts.join(busy, "rk").select(F.col("rk").alias("rb"), F.col("text").alias("tb"), F.ceil(F.col("n") / w.text_links).cast("int").alias("m"))
+    right = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).drop("m")
+    left = pairs.join(busy.select(F.col("rk").alias("rb"), "n"), "rb").withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / w.text_links)).cast("int"))
+    left = left.select("a", "b", "ra", "rb", "salt").join(texts.select(F.col("rk").alias("ra"), F.col("text").alias("ta")), "ra")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [similarity(x.as_py(), y.as_py(), width) >= least for x, y in zip(b.column("ta"), b.column("tb"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return to_python(left.join(right, ["rb", "salt"]).select("a", "b", "ta", "tb")).mapInArrow(run, "a binary, b binary")
+
+
+def _near_copies(docs: DataFrame, doc_id: str, text: str, width: int, least: float, w: Wide, broadcast_rows: int) -> DataFrame:
+    """(rk, component): row keys with their component, named by its winner's row key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sig, key = [], []
+            for t in b.column("text").to_pylist():
+                m = _margins(t, width, w.words)
+                sig.append(np.packbits(m > 0, bitorder="little").tobytes())
+                key.append(cells(m, w))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(sig, pa.binary()), pa.array(key, pa.list_(pa.int64()))], ["doc_id", "rk", "sig", "cells"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("rk", row_key(F.col("doc_id"), F.col("text")))
+    prints = cut(to_python(named).mapInArrow(run, f"doc_id {kind}, rk long, sig binary, cells array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("w")
+    each = cut(prints.groupBy("sig").agg(first, F.first("cells").alias("cells")))
+    links = cut(near_links(each, w))
+    rep = each.select("sig", F.col("w.rk").alias("rk"))
+    pairs = links.join(rep.select(F.col("sig").alias("a"), F.col("rk").alias("ra")), "a").join(rep.select(F.col("sig").alias("b"), F.col("rk").alias("rb")), "b")
+    pairs = cut(pairs.select("a", "b", "ra", "rb"))
+    wanted = cut(pairs.select(F.explode(F.array("ra", "rb")).alias("rk")).distinct())
+    texts = cut(bounded_join(named.select("rk", "text"), wanted, "rk", "left_semi", broadcast_rows).groupBy("rk").agg(F.first("text").alias("text")))
+    joined = components(_verified(pairs, texts, width, least, w), "a", "b")
+    rooted = each.join(joined, each.sig == joined.node, "left").select("sig", "w", F.coalesce("component", "sig").alias("root"))
+    winners = rooted.groupBy("root").agg(F.min("w").alias("w"))
+    return rooted.select("sig", "root").join(winners, "root").select(F.col("w.rk").alias("component"), "sig").join(prints.select("sig", "rk"), "sig").select("rk", "component")
+
+
+def one_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, wide: Wide = Wide(), broadcast_rows: int = 500_000) -> DataFrame:  # noqa: B008
+    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Components are those of texts whose word shingles have Jaccard similarity ``least`` or more:
+    wide fingerprints find the pairs, the texts decide. Null ids come last; rows that share the id
+    are told apart by content hash, and of rows equal in id and text one stays. Null texts and
+    texts without words are one component. All columns are kept; an empty table gives no rows.
+    Texts move only where they have links, the winners' keys are too many to broadcast, or a
+    winner is repeated.
+    """
+    found = _near_copies(docs, doc_id, text, width, least, wide, broadcast_rows)
+    kept = cut(found.where("rk = component").groupBy("rk").agg(F.count("*").alias("_n")))
+    return _only(docs, kept, doc_id, text, broadcast_rows)

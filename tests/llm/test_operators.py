@@ -417,6 +417,48 @@ def test_simhash(spark, sample):
     assert simhash.one_of_each(same).count() == 1
 
 
+@pytest.mark.parametrize("wide", [simhash.Wide(), simhash.Wide(node_rows=8, text_links=2)])
+def test_similar(spark, wide):
+    """Near copies with edits against brute-force similarities, whole and with nodes and busy texts split."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = [*enumerate(odd_texts(), 5000), (None, "b c d e"), (5000, "b c d e")]
+    for g in range(12):
+        base = list(rng.choice(vocabulary, int(rng.integers(60, 400))))
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 8):
+            own = base.copy()
+            for at in rng.integers(0, len(own), int(len(own) * 0.004 * k)):
+                own[at] = "X" + own[at]
+            rows.append((10 * g + k, " ".join(own)))
+    docs = docs_of(spark, rows).withColumn("sig", F.lit(1)).withColumn("rk", F.lit("x"))
+    sims = {(i, j): simhash.similarity(a, b) for i, (_, a) in enumerate(rows) for j, (_, b) in enumerate(rows[:i])}
+    of = roots([k for k, v in sims.items() if v >= 0.8], range(len(rows)))
+    want = {}
+    for i, (doc, t) in enumerate(rows):
+        want[of[i]] = min(want.get(of[i], (True, 0)), (doc is None, doc or 0))
+    got = simhash.one_of_similar(docs, wide=wide)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == Counter(want.values())
+    assert simhash.one_of_similar(docs.limit(0)).count() == 0
+    assert 0.1 < np.mean([v >= 0.8 for v in sims.values() if v > 0.3]) < 0.9
+
+
+def test_similarity():
+    assert simhash.similarity("a b c d e f", "A b c d e  f") == 1 and simhash.similarity(None, " ") == 1 and simhash.similarity("a", "") == 0
+    assert simhash.similarity("a b c d e f", "a b c d e g") == 1 / 3
+
+
+def test_forest():
+    rng = np.random.default_rng(9)
+    a, b, far = rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 9, 400)
+    at = simhash.forest(a, b, far, 60)
+    for d in range(9):
+        every, some = (roots(list(zip(x[k].tolist(), y[k].tolist(), strict=True)), range(60)) for x, y, k in ((a, b, far <= d), (a[at], b[at], far[at] <= d)))
+        assert every == some
+    assert len(at) == 60 - len(set(roots(list(zip(a.tolist(), b.tolist(), strict=True)), range(60)).values()))
+
+
 def test_gray_hierarchy():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
