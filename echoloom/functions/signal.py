@@ -91,6 +91,10 @@ def to_int16(x: np.ndarray) -> np.ndarray:
 
 
 # columns
+def decibels(x: Column) -> Column:
+    return F.when(x <= 0, -100.0).otherwise(20 * F.log10(x))
+
+
 def quantized(v: Column) -> Column:
     """Clamped to [-1, 1], times 32767, cut toward zero."""
     return (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v)) * 32767).cast("int")

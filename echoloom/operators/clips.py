@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.signal import db_to_linear, doubling, gain, quantized
+from ..functions.signal import db_to_linear, decibels, doubling, gain, quantized
+
 
 def clip_window():
     return Window.partitionBy("clip_id")
@@ -47,6 +48,11 @@ def rms_peak(samples: DataFrame) -> DataFrame:
     return samples.groupBy("clip_id").agg(F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"), F.max(F.abs("v")).alias("peak"))
 
 
+def levels(samples: DataFrame) -> DataFrame:
+    """(clip_id, rms_db, peak_db) in decibels, -100 for silence."""
+    return rms_peak(samples).select("clip_id", decibels(F.col("rms")).alias("rms_db"), decibels(F.col("peak")).alias("peak_db"))
+
+
 def normalize_volume(samples: DataFrame, target_db: float, use_rms: bool = True) -> DataFrame:
     level = F.col("rms" if use_rms else "peak")
     x = samples.join(rms_peak(samples), "clip_id")

@@ -74,6 +74,19 @@ def correlation_alignment(pairs: DataFrame, fps: DataFrame, c: CompareConfig) ->
     return sims.groupBy("a", "b").agg(F.min(F.struct((-s).alias("s"), "off")).alias("x")).select("a", "b", F.col("x.off").alias("offset"), (-F.col("x.s")).alias("similarity"))
 
 
+def best_alignment(pairs: DataFrame, fps: DataFrame, c: CompareConfig = CompareConfig()) -> DataFrame:  # noqa: B008
+    """(a, b, best_offset, similarity): the better of histogram and correlation, tuned finely; no test of size or overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [(np.asarray(x, np.uint32), np.asarray(y, np.uint32)) for x, y in zip(b.column("data_a").to_numpy(zero_copy_only=False), b.column("data_b").to_numpy(zero_copy_only=False), strict=True)]
+            offs = [align.best_offset(x, y, c) for x, y in both]
+            sims = [align.similarity_at(x, y, o)[0] for (x, y), o in zip(both, offs, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(offs, pa.int64()), pa.array(sims, pa.float64())], ["a", "b", "best_offset", "similarity"])
+
+    return with_data(pairs.select("a", "b"), fps).select("a", "b", "data_a", "data_b").mapInArrow(run, "a bigint, b bigint, best_offset bigint, similarity double")
+
+
 def compare(pairs: DataFrame, fps: DataFrame, c: CompareConfig = CompareConfig(), sliding: bool = False) -> DataFrame:  # noqa: B008
     """Match rows of pairs (a, b), compared from a to b. Words are read as unsigned 32-bit."""
 

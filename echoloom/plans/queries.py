@@ -41,6 +41,12 @@ def fp_valid(spark, d):
     return text.fingerprints(read(spark, d, "documents")).select("file_id", F.size("data").cast("bigint").alias("n_words"), valid.alias("valid"))
 
 
+def fp_limited(spark, d):
+    """At most 100 words of each fingerprint."""
+    f = index.limited(text.fingerprints(read(spark, d, "documents")), 100)
+    return index.words(f).select("file_id", F.col("pos").cast("bigint").alias("pos"), "w")
+
+
 def hash_extract(spark, d):
     return fp_words(spark, d).select("file_id", "pos", low16(F.col("w")).cast("bigint").alias("hash"))
 
@@ -96,6 +102,15 @@ def correlation_alignment(spark, d):
     return cmp.correlation_alignment(pairs, f, C).select("a", "b", F.col("offset").cast("bigint").alias("offset"), F.round("similarity", 9).alias("similarity"))
 
 
+def best_alignment(spark, d):
+    pairs, f = _similar(spark, d)
+    return cmp.best_alignment(pairs, f, C).select("a", "b", "best_offset", F.round("similarity", 9).alias("similarity"))
+
+
+def filter_candidates(spark, d):
+    return index.filter_candidates(fps(spark, d), C).select("a", "b", "hits", F.round("overlap", 9).alias("overlap"))
+
+
 def _matches(spark, d, sliding: bool = False) -> DataFrame:
     pairs, f = _similar(spark, d)
     return cmp.compare(pairs, f, C, sliding)
@@ -171,6 +186,14 @@ def normalize_volume(spark, d):
     return clips.normalize_volume(samples(spark, d), -20.0).select("clip_id", "idx", F.round("v", 9).alias("v"))
 
 
+def normalize_peak(spark, d):
+    return clips.normalize_volume(samples(spark, d), -3.0, use_rms=False).select("clip_id", "idx", F.round("v", 9).alias("v"))
+
+
+def level_decibels(spark, d):
+    return clips.levels(samples(spark, d)).select("clip_id", F.round("rms_db", 6).alias("rms_db"), F.round("peak_db", 6).alias("peak_db"))
+
+
 def resample_linear(spark, d):
     return clips.resample_linear(samples(spark, d), 400, 500).select("clip_id", "idx", F.round("v", 9).alias("v"))
 
@@ -238,9 +261,9 @@ def preprocess_report(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        fp_words, fp_valid, hash_extract, index_stats, candidate_pairs, candidates_for_file, multi_source_scan, jaccard_filter, similarity_offset0, offset_histogram, gaussian_histogram, histogram_peak,
-        correlation_alignment, compare_pairs, duplicate_edges, duplicate_groups, group_summary, groups_csv, sliding_compare, segment_matches, hamming_embedding_pairs, chunk_energy, silence_bounds,
-        trim_silence, rms_peak, normalize_volume, resample_linear, quantize_int16, doubling_decision, robustness_rates, robustness_buckets, memory_trend_slope, scan_audio, fingerprint_audio, preprocess_report,
+        fp_words, fp_valid, fp_limited, hash_extract, index_stats, candidate_pairs, candidates_for_file, multi_source_scan, jaccard_filter, similarity_offset0, offset_histogram, gaussian_histogram, histogram_peak,
+        correlation_alignment, best_alignment, filter_candidates, compare_pairs, duplicate_edges, duplicate_groups, group_summary, groups_csv, sliding_compare, segment_matches, hamming_embedding_pairs, chunk_energy, silence_bounds,
+        trim_silence, rms_peak, normalize_volume, normalize_peak, level_decibels, resample_linear, quantize_int16, doubling_decision, robustness_rates, robustness_buckets, memory_trend_slope, scan_audio, fingerprint_audio, preprocess_report,
     )
 }
 
@@ -300,6 +323,7 @@ rates AS (SELECT category, threshold, count(*) AS total, CAST(sum(CAST(detected
 ORACLE: dict[str, str] = {
     "fp_words": f"WITH {_FP} SELECT file_id, pos, w FROM words",
     "fp_valid": f"WITH {_FP} SELECT file_id, len(data) AS n_words, len(data) < 100000 AS valid FROM fp",
+    "fp_limited": f"WITH {_FP} SELECT file_id, pos, w FROM words WHERE pos < 100",
     "hash_extract": f"WITH {_FP} SELECT file_id, pos, hash FROM post",
     "index_stats": f"WITH {_FP} SELECT count(DISTINCT file_id) AS file_count, count(DISTINCT hash) AS index_size, round(count(*) / count(DISTINCT hash)::DOUBLE, 6) AS mean_postings FROM post",
     "candidate_pairs": f"WITH {_SIM} SELECT a, b, hits FROM cand",
@@ -311,6 +335,8 @@ ORACLE: dict[str, str] = {
     "gaussian_histogram": f"WITH {_GAUSS} SELECT a, b, off, round(f, 6) AS f FROM gauss",
     "histogram_peak": f"WITH {_PEAK} SELECT a, b, peak_offset, round(height, 6) AS height FROM peak",
     "correlation_alignment": f"WITH {_SIM}{_SIMS} SELECT a, b, off AS offset, round(s, 9) AS similarity FROM corr",
+    "best_alignment": f"WITH RECURSIVE {_MATCH} SELECT a, b, CAST(best AS BIGINT) AS best_offset, round(s, 9) AS similarity FROM scored",
+    "filter_candidates": f"WITH {_SIM} SELECT a, b, hits, round(overlap, 9) AS overlap FROM sim JOIN cand USING (a, b)",
     "compare_pairs": f"WITH RECURSIVE {_MATCH} SELECT a, b, round(similarity_score, 9) AS similarity_score, best_offset, matched_segments, round(bit_error_rate, 9) AS bit_error_rate, is_duplicate FROM match",
     "duplicate_edges": f"WITH RECURSIVE {_MATCH} SELECT a, b, round(similarity_score, 9) AS similarity_score, best_offset, matched_segments, round(bit_error_rate, 9) AS bit_error_rate, is_duplicate FROM match WHERE is_duplicate",
     "duplicate_groups": f"WITH RECURSIVE {_GROUP} SELECT group_id, array_to_string(ids, ',') AS file_ids, avg_similarity FROM groups",
@@ -322,6 +348,8 @@ ORACLE: dict[str, str] = {
     "trim_silence": f"WITH {_TRIM} SELECT * FROM trimmed",
     "rms_peak": f"WITH {_CLIP} SELECT clip_id, round(sqrt(avg(v * v)), 9) AS rms, round(max(abs(v)), 9) AS peak FROM s GROUP BY 1",
     "normalize_volume": f"WITH {_CLIP}, r AS (SELECT clip_id, sqrt(avg(v * v)) AS rms FROM s GROUP BY 1) SELECT clip_id, idx, round(greatest(-1.0, least(1.0, v * CASE WHEN rms < 0.001 THEN 0.1 ELSE least(10.0, greatest(0.1, 0.1 / rms)) END)), 9) AS v FROM s JOIN r USING (clip_id)",
+    "normalize_peak": f"WITH {_CLIP}, r AS (SELECT clip_id, max(abs(v)) AS peak FROM s GROUP BY 1) SELECT clip_id, idx, round(greatest(-1.0, least(1.0, v * CASE WHEN peak < 0.001 THEN 0.1 ELSE least(10.0, greatest(0.1, CAST({10 ** (-3 / 20)!r} AS DOUBLE) / peak)) END)), 9) AS v FROM s JOIN r USING (clip_id)",
+    "level_decibels": f"WITH {_CLIP}, r AS (SELECT clip_id, sqrt(avg(v * v)) AS rms, max(abs(v)) AS peak FROM s GROUP BY 1) SELECT clip_id, round(CASE WHEN rms <= 0 THEN -100.0 ELSE 20 * log10(rms) END, 6) AS rms_db, round(CASE WHEN peak <= 0 THEN -100.0 ELSE 20 * log10(peak) END, 6) AS peak_db FROM r",
     "resample_linear": f"WITH {_CLIP}, o AS (SELECT clip_id, n, unnest(generate_series(0, CAST(floor(n * 1.25) AS BIGINT) - 1)) AS idx FROM (SELECT DISTINCT clip_id, n FROM z)) SELECT o.clip_id, o.idx, round(a.v + (coalesce(b.v, a.v) - a.v) * (o.idx * 0.8 - floor(o.idx * 0.8 + 1e-9)), 9) AS v FROM o JOIN s a ON a.clip_id = o.clip_id AND a.idx = CAST(floor(o.idx * 0.8 + 1e-9) AS BIGINT) LEFT JOIN s b ON b.clip_id = o.clip_id AND b.idx = a.idx + 1",
     "quantize_int16": f"WITH {_CLIP} SELECT clip_id, idx, CAST(trunc(greatest(-1.0, least(1.0, v)) * 32767) AS BIGINT) AS q FROM s",
     "doubling_decision": f"WITH {_TRIM}, m AS (SELECT clip_id, count(*) AS m FROM trimmed GROUP BY 1), x AS (SELECT b.clip_id, n / 400.0::DOUBLE AS original, coalesce(m, 0) / 400.0::DOUBLE AS trimmed FROM bounds b LEFT JOIN m USING (clip_id)) SELECT *, CASE WHEN trimmed >= 3 THEN false WHEN trimmed / original >= 0.5 THEN true ELSE original >= 1.5 END AS doubled FROM x",

@@ -36,7 +36,7 @@ def plain(rows, columns):
     return sorted((repr(tuple(round(float(v), 6) if isinstance(v, float) else v for v in (r[c] for c in columns))) for r in rows))
 
 
-@pytest.mark.parametrize("name", ["fp_words", "candidate_pairs", "jaccard_filter", "histogram_peak", "compare_pairs", "groups_csv", "silence_bounds", "trim_silence", "resample_linear", "doubling_decision", "robustness_buckets", "multi_source_scan"])
+@pytest.mark.parametrize("name", ["fp_words", "fp_limited", "best_alignment", "filter_candidates", "normalize_peak", "level_decibels", "candidate_pairs", "jaccard_filter", "histogram_peak", "compare_pairs", "groups_csv", "silence_bounds", "trim_silence", "resample_linear", "doubling_decision", "robustness_buckets", "multi_source_scan"])
 def test_sql(spark, con, name):
     got = QUERIES[name](spark, DATA)
     want = con.sql(ORACLE[name])
