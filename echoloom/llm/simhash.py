@@ -331,67 +331,104 @@ def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, int)
 
 
-def _near(key: np.ndarray, sig: np.ndarray, radius: int) -> pa.RecordBatch:
-    """Forest edges within the nodes at hand. key: sorted; sig: words of each fingerprint."""
-    order = np.lexsort((_gray_rank(sig[:, 0]), key))
-    key, sig = key[order], sig[order]
+def _within(key: np.ndarray, sig: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of all pairs i < j of one node within the radius, in parts. key, sig: as _ordered gives them."""
     edge = np.flatnonzero(np.diff(key)) + 1
     starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
     sizes = ends - starts
-    rows, a, b, far = np.repeat(sizes <= FAN, sizes), [], [], []
+    rows = np.repeat(sizes <= FAN, sizes)
     for step in range(1, FAN):
         i = np.flatnonzero(rows[:-step] & (key[step:] == key[:-step])) if len(key) > step else np.empty(0, int)
         if not len(i):
             break
         d = _bits(sig[i] ^ sig[i + step])
         near = d <= radius
-        a.append(i[near])
-        b.append(i[near] + step)
-        far.append(d[near])
-    held = [np.concatenate(x) if x else np.empty(0, int) for x in (a, b, far)]
+        yield i[near], i[near] + step, d[near]
     for s, e in zip(starts[sizes > FAN], ends[sizes > FAN], strict=True):
         levels, chunk = hierarchy(sig[s:e]), max(1, 500_000 // int(e - s))
         for i in range(int(s), int(e), chunk):
             q, leaf = search(levels, sig[i : min(e, i + chunk)], radius)
             up = q + i < leaf + s
             q, leaf = q[up] + i, leaf[up] + s
-            held = [np.concatenate((x, y)) for x, y in zip(held, (q, leaf, _bits(sig[q] ^ sig[leaf])), strict=True)]
-            if len(held[0]) > 1_000_000:
-                at = forest(*held, len(key))
-                held = [x[at] for x in held]
+            yield q, leaf, _bits(sig[q] ^ sig[leaf])
+
+
+def _ordered(key: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    return np.lexsort((_gray_rank(sig[:, 0]), key))
+
+
+def _batch(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in sig[k]], pa.binary()) for k in (a, b)], ["a", "b"])
+
+
+def _near(key: np.ndarray, sig: np.ndarray, radius: int) -> pa.RecordBatch:
+    """Forest edges within the nodes at hand. key: sorted; sig: words of each fingerprint."""
+    order = _ordered(key, sig)
+    key, sig = key[order], sig[order]
+    held = [np.empty(0, int)] * 3
+    for found in _within(key, sig, radius):
+        held = [np.concatenate((x, y)) for x, y in zip(held, found, strict=True)]
+        if len(held[0]) > 1_000_000:
+            at = forest(*held, len(key))
+            held = [x[at] for x in held]
     at = forest(*held, len(key))
-    raw = [pa.array([x.tobytes() for x in sig[held[k][at]]], pa.binary()) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays(raw, ["a", "b"])
+    return _batch(sig, held[0][at], held[1][at])
+
+
+def _apart(key: np.ndarray, sig: np.ndarray, root: np.ndarray, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of different roots at distances from low to high within the nodes at hand."""
+    of = np.unique(root, axis=0, return_inverse=True)[1].reshape(-1)
+    first = np.searchsorted(key, key)
+    mixed = np.unique(key[of != of[first]])
+    some = np.isin(key, mixed)  # a node of a single root has nothing to add
+    key, sig, of = key[some], sig[some], of[some]
+    if not len(key):
+        return
+    order = _ordered(key, sig)
+    key, sig, of = key[order], sig[order], of[order]
+    for i, j, far in _within(key, sig, high):
+        want = (far >= low) & (of[i] != of[j])
+        if want.any():
+            yield _batch(sig, i[want], j[want])
 
 
-def _near_nodes(w: Wide):
+def _near_nodes(w: Wide, band: tuple[int, int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sig, last = np.empty(0, np.int64), np.empty((0, w.words), np.uint64), None
+        wide = w.words * (2 if band else 1)  # with a band, roots stand beside the fingerprints
+
+        def met(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if band:
+                yield from _apart(key, rows[:, : w.words], rows[:, w.words :], *band)
+            else:
+                yield _near(key, rows, w.radius)
+
+        key, rows, last = np.empty(0, np.int64), np.empty((0, wide), np.uint64), None
         for b in batches:
             part = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi")], 1)
             new = np.ones(len(part), bool)
             new[1:] = (part[1:] != part[:-1]).any(1)
             new[0] = last is None or (part[0] != last).any()
             key = np.concatenate((key, (key[-1] if len(key) else 0) + np.cumsum(new)))
-            sig = np.concatenate((sig, np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(-1, w.words)))
+            rows = np.concatenate((rows, np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(-1, wide)))
             last = part[-1]
             if len(key) < 50_000:
                 continue
             if whole := int(np.searchsorted(key, key[-1])):
-                yield _near(key[:whole], sig[:whole], w.radius)
-                key, sig = key[whole:], sig[whole:]
+                yield from met(key[:whole], rows[:whole])
+                key, rows = key[whole:], rows[whole:]
         if len(key):
-            yield _near(key, sig, w.radius)
+            yield from met(key, rows)
 
     return run
 
 
-def near_links(classes: DataFrame, w: Wide = Wide()) -> DataFrame:  # noqa: B008
+def near_links(classes: DataFrame, w: Wide = Wide(), band: tuple[int, int] | None = None) -> DataFrame:  # noqa: B008
     """(a, b): pairs of fingerprints that connect, at every distance up to the radius, what all pairs connect.
 
-    classes: distinct ``sig`` with its ``cells``.
+    classes: distinct ``sig`` with its ``cells``. With a band (least and greatest distance): every
+    pair in it whose ``root``, a further column, differs.
     """
-    filed = classes.select("sig", F.explode("cells").alias("key"))
+    filed = classes.select((F.concat("sig", "root") if band else F.col("sig")).alias("sig"), F.explode("cells").alias("key"))
     full = cut(filed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > w.node_rows))
     dealt = filed.select("key", "sig", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
     if not small(full, 0):
@@ -400,12 +437,19 @@ def near_links(classes: DataFrame, w: Wide = Wide()) -> DataFrame:  # noqa: B008
         of = of.withColumn("part", F.pmod(F.xxhash64("sig"), "m").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         dealt = of.select("key", "sig", F.least("part", "i").alias("lo"), F.greatest("part", "i").alias("hi"))
     met = to_python(dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi"))
-    return met.mapInArrow(_near_nodes(w), "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return met.mapInArrow(_near_nodes(w, band), "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _distinct(text: str | None, width: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_hashed(text, width)]))
 
 
 def similarity(a: str | None, b: str | None, width: int = 5) -> float:
     """Jaccard similarity of two texts' word shingles; 1 where neither has words."""
-    x, y = (np.unique(np.concatenate([np.empty(0, np.uint64), *_hashed(t, width)])) for t in (a, b))
+    return _overlap(_distinct(a, width), _distinct(b, width))
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -420,7 +464,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float, w: W
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [similarity(x.as_py(), y.as_py(), width) >= least for x, y in zip(b.column("ta"), b.column("tb"), strict=True)]
+            ta, tb = b.column("ta").to_pylist(), b.column("tb").to_pylist()
+            sets = {t: _distinct(t, width) for t in {*ta, *tb}}
+            near = [_overlap(sets[x], sets[y]) >= least for x, y in zip(ta, tb, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return to_python(left.join(right, ["rb", "salt"]).select("a", "b", "ta", "tb")).mapInArrow(run, "a binary, b binary")
@@ -445,11 +491,24 @@ def _near_copies(docs: DataFrame, doc_id: str, text: str, width: int, least: flo
     each = cut(prints.groupBy("sig").agg(first, F.first("cells").alias("cells")))
     links = cut(near_links(each, w))
     rep = each.select("sig", F.col("w.rk").alias("rk"))
-    pairs = links.join(rep.select(F.col("sig").alias("a"), F.col("rk").alias("ra")), "a").join(rep.select(F.col("sig").alias("b"), F.col("rk").alias("rb")), "b")
-    pairs = cut(pairs.select("a", "b", "ra", "rb"))
-    wanted = cut(pairs.select(F.explode(F.array("ra", "rb")).alias("rk")).distinct())
-    texts = cut(bounded_join(named.select("rk", "text"), wanted, "rk", "left_semi", broadcast_rows).groupBy("rk").agg(F.first("text").alias("text")))
-    joined = components(_verified(pairs, texts, width, least, w), "a", "b")
+    wanted = cut(links.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(rep, "sig"))
+    texts = cut(bounded_join(named.select("rk", "text"), wanted.select("rk").distinct(), "rk", "left_semi", broadcast_rows).groupBy("rk").agg(F.first("text").alias("text")))
+
+    def alike(found: DataFrame) -> DataFrame:
+        pairs = found.join(rep.select(F.col("sig").alias("a"), F.col("rk").alias("ra")), "a").join(rep.select(F.col("sig").alias("b"), F.col("rk").alias("rb")), "b")
+        return cut(_verified(cut(pairs.select("a", "b", "ra", "rb")), texts, width, least, w))
+
+    good = alike(links)
+    joined = components(good, "a", "b")
+    if not small(links.join(good, ["a", "b"], "left_anti"), 0):
+        # a link that fails may have stood for pairs that hold: all pairs not joined yet are tried, the nearer ones first
+        part = w.radius * 3 // 4
+        met = cut(each.join(wanted.select("sig"), "sig", "left_semi").select("sig", "cells"))
+        for band in ((0, part), (part + 1, w.radius)):
+            now = cut(met.join(joined, met.sig == joined.node, "left").select("sig", "cells", F.coalesce("component", "sig").alias("root")))
+            more = cut(near_links(now, w, band).join(links, ["a", "b"], "left_anti"))
+            if not small(more, 0):
+                joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(alike(more)), "a", "b")
     rooted = each.join(joined, each.sig == joined.node, "left").select("sig", "w", F.coalesce("component", "sig").alias("root"))
     winners = rooted.groupBy("root").agg(F.min("w").alias("w"))
     return rooted.select("sig", "root").join(winners, "root").select(F.col("w.rk").alias("component"), "sig").join(prints.select("sig", "rk"), "sig").select("rk", "component")

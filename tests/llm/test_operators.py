@@ -472,3 +472,14 @@ def test_gray_hierarchy():
         for b in (a ^ np.uint64(1 << 5), a ^ np.uint64(1 << 63 | 1 << 30)):
             keys = [(simhash._permute(np.array([x]), order) >> np.uint64(64 - n))[0] for x in (a, b) for order, n in simhash._layouts(2)]
             assert any(x == y for x, y in zip(keys[:9], keys[9:], strict=True))
+
+
+def test_similar_behind_failed_links(spark):
+    """Texts that share most of a base: forest links that fail hide pairs that hold."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"b{k}" if rng.random() < 0.925 else f"x{i}y{k}" for k in range(300))) for i in range(150)]
+    sets = [set(t.split()) for _, t in rows]
+    of = roots([(i, j) for i in range(150) for j in range(i + 1, 150) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], range(150))
+    want = set(of.values())
+    assert 10 < len(want) < 140
+    assert {r["doc_id"] for r in simhash.one_of_similar(docs_of(spark, rows), width=1).collect()} == want
