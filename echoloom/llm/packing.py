@@ -2,8 +2,8 @@
 
 Documents become token pieces of at most ``capacity``. Only the histogram of piece lengths (at
 most ``capacity`` numbers, whatever the corpus) comes to the driver. From it a plan is made:
-hash tables of single, pair and triple length sums give, for the longest length left, partners
-that fill its sequence exactly; each find is used as often as the counts allow at once, so every
+a table of counts keyed by length is asked for the exact complement of the longest length left
+and of its sums with every one and every two other lengths; each find is used as often as the counts allow at once, so every
 step uses up a length. What has no exact complement is packed best-fit by counts. Executors then
 place each piece by its rank within its length, so the placing is one pass over small rows.
 """
@@ -53,19 +53,46 @@ def encode(path: str, texts: list[str | None], remember: int | None = None) -> l
     return [b"".join(ids[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
 
 
-def plan(counts: dict[int, int], capacity: int, width: int = 48) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a sequence, how many such sequences)] that use up the counts.
+def _fill(table: np.ndarray, lengths: np.ndarray, longest: int, gap: int, three: bool) -> tuple[int, ...] | None:
+    """The two or three lengths, none above longest, that fill the gap exactly and most often; None if no left ones do.
 
-    width: pairs and triples are looked up among so many of the most frequent lengths and all
-    singles first; exactness of what is found does not depend on it.
+    table: pieces left, by length; lengths: those with any. All sums are looked at.
     """
+    a = lengths[lengths <= gap // (3 if three else 2)]
+    if three:
+        b = lengths[lengths <= gap // 2]
+        a, b = np.repeat(a, len(b)), np.tile(b, len(a))
+        a, b = a[b >= a], b[b >= a]
+        c = gap - a - b
+        ok = (c >= b) & (c <= longest)
+        ok[ok] = table[c[ok]] > 0
+        rows = np.stack((a[ok], b[ok], c[ok]))
+    else:
+        c = gap - a
+        ok = c <= longest
+        ok[ok] = table[c[ok]] > 0
+        rows = np.stack((a[ok], c[ok]))
+    if not rows.shape[1]:
+        return None
+    rows = np.vstack((np.full((1, rows.shape[1]), longest), rows))
+    times = np.min([table[x] // (rows == x).sum(0) for x in rows], axis=0)
+    at = int(times.argmax())
+    return tuple(rows[1:, at].tolist()) if times[at] else None
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """[(lengths of a sequence, how many such sequences)] that use up the counts."""
     left = {n: c for n, c in counts.items() if c > 0}
+    table = np.zeros(capacity + 1, np.int64)
+    for n, c in left.items():
+        table[n] = c
     out: list[tuple[tuple[int, ...], int]] = []
 
     def use(lengths: tuple[int, ...], times: int) -> None:
         out.append((lengths, times))
         for n in lengths:
             left[n] -= times
+            table[n] -= times
         for n in set(lengths):
             if not left[n]:
                 del left[n]
@@ -73,10 +100,6 @@ def plan(counts: dict[int, int], capacity: int, width: int = 48) -> list[tuple[t
     def times(lengths: tuple[int, ...]) -> int:
         return min(left.get(n, 0) // lengths.count(n) for n in set(lengths))
 
-    pairs: dict[int, list[tuple[int, int]]] = {}
-    for a, b in combinations_with_replacement(sorted(left), 2):
-        if a + b <= capacity:
-            pairs.setdefault(a + b, []).append((a, b))
     for longest in sorted(left, reverse=True):
         while longest in left:
             gap = capacity - longest
@@ -86,15 +109,10 @@ def plan(counts: dict[int, int], capacity: int, width: int = 48) -> list[tuple[t
             elif times((longest, gap)):
                 found = (longest, gap)
             else:
-                best = 0
-                for a, b in pairs.get(gap, ()):
-                    if (n := times((longest, a, b))) > best:
-                        best, found = n, (longest, a, b)
-                if not found:
-                    for c in sorted(left, key=left.get, reverse=True)[:width]:
-                        for a, b in pairs.get(gap - c, ())[:width] if c < gap else ():
-                            if (n := times((longest, a, b, c))) > best:
-                                best, found = n, (longest, a, b, c)
+                lengths = np.flatnonzero(table)
+                more = _fill(table, lengths, longest, gap, three=False) or _fill(table, lengths, longest, gap, three=True)
+                if more:
+                    found = (longest, *more)
             if not found:
                 break
             use(found, times(found))

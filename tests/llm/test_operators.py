@@ -483,3 +483,15 @@ def test_similar_behind_failed_links(spark):
     want = set(of.values())
     assert 10 < len(want) < 140
     assert {r["doc_id"] for r in simhash.one_of_similar(docs_of(spark, rows), width=1).collect()} == want
+
+
+def test_plan_looks_up_all_sums():
+    counts = dict(Counter(np.clip(np.rint(np.random.default_rng(1).normal(512, 60, 20_000)), 1, 2048).astype(int).tolist()))
+    made, used = packing.plan(counts, 2048), Counter()
+    for lengths, times in made:
+        assert sum(lengths) <= 2048
+        for n in lengths:
+            used[n] += times
+    assert used == Counter(counts)
+    assert sum(t for _, t in made) <= 1.01 * sum(n * c for n, c in counts.items()) / 2048
+    assert sum(t for x, t in made if len(x) == 4 and sum(x) == 2048) > 4000
