@@ -11,7 +11,7 @@ soon as they exceed the distance. Copies of a text have one fingerprint and take
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -44,10 +44,10 @@ def _hashed(text: str | None, width: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[s:e], 42) for s, e in zip(starts[i : i + (1 << 15)].tolist(), ends[i : i + (1 << 15)].tolist(), strict=True)], np.uint64)
 
 
-def _margins(text: str | None, width: int, words: int) -> np.ndarray:
-    """For each of 64 * words bits: shingles with that bit less those without. Words after the first are mixed from the same hash."""
+def _margins(parts: Iterable[np.ndarray], words: int) -> np.ndarray:
+    """For each of 64 * words bits: shingle hashes with that bit less those without. Words after the first are mixed from the same hash."""
     total, n = np.zeros((words, 64), np.int64), 0
-    for h in _hashed(text, width):
+    for h in parts:
         for k in range(words):
             bits = np.unpackbits((_mixed(h, k) if k else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             total[k] += bits.sum(0, dtype=np.int64)
@@ -63,7 +63,7 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64-bit SimHash, signed, of word shingles with repeats; 0 for null or a text without words."""
-    return int(np.packbits(_margins(text, width, 1) > 0, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(_margins(_hashed(text, width), 1) > 0, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -278,7 +278,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
 @dataclass(frozen=True)
 class Wide:
-    """Near copies by wide fingerprints: 64 * words bits, linked within ``radius`` and then verified on the texts.
+    """Near copies by wide fingerprints of distinct shingles: 64 * words bits, linked within ``radius`` and then verified on the texts.
 
     Fingerprints of texts at similarity 0.8 differ in 39 of 256 bits on average and in 52 almost
     never. Each is filed in ``tables`` cells of ``key_bits`` bits, and in the ``probes`` - 1 cells
@@ -479,7 +479,8 @@ def _near_copies(docs: DataFrame, doc_id: str, text: str, width: int, least: flo
         for b in slices(batches, "text"):
             sig, key = [], []
             for t in b.column("text").to_pylist():
-                m = _margins(t, width, w.words)
+                own = _distinct(t, width)  # similarity is one of sets, so repeats must not move a fingerprint
+                m = _margins((own[i : i + (1 << 15)] for i in range(0, len(own), 1 << 15)), w.words)
                 sig.append(np.packbits(m > 0, bitorder="little").tobytes())
                 key.append(cells(m, w))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(sig, pa.binary()), pa.array(key, pa.list_(pa.int64()))], ["doc_id", "rk", "sig", "cells"])

@@ -495,3 +495,10 @@ def test_plan_looks_up_all_sums():
     assert used == Counter(counts)
     assert sum(t for _, t in made) <= 1.01 * sum(n * c for n, c in counts.items()) / 2048
     assert sum(t for x, t in made if len(x) == 4 and sum(x) == 2048) > 4000
+
+
+def test_similar_counts_a_repeated_line_once(spark):
+    words, line = " ".join(f"w{i}" for i in range(200)), " ".join(f"l{i}" for i in range(12))
+    rows = [(1, f"{words} {line}"), (2, f"{words} " + " ".join([line] * 50)), (3, "other words stand here by themselves")]
+    assert simhash.similarity(rows[0][1], rows[1][1]) > 0.9
+    assert {r["doc_id"] for r in simhash.one_of_similar(docs_of(spark, rows)).collect()} == {1, 3}
