@@ -20,6 +20,8 @@ from .common import packed, slices, to_python
 
 #: Hashed features; documents of each language in the fitting sample; the most languages there may be.
 BUCKETS, PER_LANGUAGE, LANGUAGES = 8192, 240, 512
+#: A text is foreign from this loss of its nearest codeword on, if it is ambiguous too and has letters enough to tell.
+FOREIGN, LETTERS = 0.7, 20
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -61,10 +63,10 @@ class Model:
     intercept: np.ndarray
     bit_weight: np.ndarray
 
-    def predict(self, text: str | None, sharpness: float = 6.0, lead: float = 0.15) -> tuple[str, float, bool]:
-        """(language, score, ambiguous); und and 0 for null or a text without any letter."""
+    def predict(self, text: str | None, sharpness: float = 6.0, lead: float = 0.15) -> tuple[str, float, bool, bool]:
+        """(language, score, ambiguous, foreign); und and 0 for null or a text without any letter. Foreign: no codeword is near."""
         if not text or not any(map(str.isalpha, text)):
-            return "und", 0.0, False
+            return "und", 0.0, False, False
         at, v = features(text)
         margin = np.clip(v @ self.weights[at] + self.intercept, -2, 2)
         loss = (np.maximum(0, 1 - self.code * margin) * self.bit_weight).sum(1)
@@ -72,7 +74,9 @@ class Model:
         p /= p.sum()
         best = int(np.argmin(loss))
         rest = np.sort(loss)
-        return self.languages[best], float(p[best]), bool(len(rest) > 1 and rest[1] - rest[0] < lead)
+        ambiguous = bool(len(rest) > 1 and rest[1] - rest[0] < lead)
+        foreign = ambiguous and rest[0] >= FOREIGN and sum(map(str.isalpha, text)) >= LETTERS
+        return self.languages[best], float(p[best]), ambiguous, bool(foreign)
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE, penalty: float = 0.3) -> Model:
@@ -119,7 +123,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs packed as ``_row`` with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``.
+    """docs packed as ``_row`` with ``lang_pred``, ``score`` (0 to 1), ``ambiguous`` and ``foreign``.
 
     lang_pred is und with score 0 for null texts, texts without a letter, and where the model has
     no language. Each row gets a row, so repeats and null ids stay; an empty table gives no rows.
@@ -130,11 +134,11 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in slices(batches, "text"):
-            got = [m.predict(t) if m.languages else ("und", 0.0, False) for t in b.column("text").to_pylist()]
-            cols = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column("_row"), *cols], ["_row", "lang_pred", "score", "ambiguous"])
+            got = [m.predict(t) if m.languages else ("und", 0.0, False, False) for t in b.column("text").to_pylist()]
+            cols = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), *cols], ["_row", "lang_pred", "score", "ambiguous", "foreign"])
 
-    return to_python(rows).mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    return to_python(rows).mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean, foreign boolean")
 
 
 def may_learn(doc_id: str = "doc_id"):

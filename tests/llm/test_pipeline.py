@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions."""
 
+import random
 import re
 from collections import Counter
 
@@ -53,3 +54,13 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 50
+
+
+def test_language_decisions_take_effect(spark):
+    """Letters in no learned language go by the decoder's result; labelled documents and short texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(1)
+    junk = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(200)) for _ in range(5)]
+    odd = spark.createDataFrame([*[(9000 + i, t, None, "src1", len(t)) for i, t in enumerate([*junk, "Это русский текст о погоде и природе. " * 3])], (9100, "qwx zzk", None, "src1", 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs.unionByName(odd), DATA).select("doc_id").collect()}
+    assert got == {x["doc_id"] for x in docs.select("doc_id").collect()} | {9100}
