@@ -48,14 +48,16 @@ def count(path: str, texts: list[str | None]) -> list[int]:
     total, words, opens, w_of, o_of = [0] * len(texts), [], [], [0], [0]
     for i, text in enumerate(texts):
         for part in parts(text) if text else ():
-            feeds = part.count("\n")
-            if len(part.split()) == part.count(" ") + feeds + 1:
+            feeds, own = part.count("\n"), part.split()
+            seps = part.count(" ") + feeds
+            plain = len(part) - sum(map(len, own)) == seps and "᠎" not in part  # no white space but spaces and feeds
+            if plain and len(own) == seps + 1:
                 total[i] += feeds * feed
                 for line in part.split("\n"):
                     first, *rest = line.split(" ")
                     opens.append(first)
                     words += rest
-            elif part[0] == " " and len(part.split()) == part.count(" ") and not feeds:
+            elif plain and part[0] == " " and len(own) == seps and not feeds:
                 words += part[1:].split(" ")
             else:
                 first, *rest = SAFE.split(part)

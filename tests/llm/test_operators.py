@@ -502,3 +502,13 @@ def test_similar_counts_a_repeated_line_once(spark):
     rows = [(1, f"{words} {line}"), (2, f"{words} " + " ".join([line] * 50)), (3, "other words stand here by themselves")]
     assert simhash.similarity(rows[0][1], rows[1][1]) > 0.9
     assert {r["doc_id"] for r in simhash.one_of_similar(docs_of(spark, rows)).collect()} == {1, 3}
+
+
+def test_tokens_where_other_white_space_offsets_runs():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    r, t = random.Random(4), Tokenizer.from_file(path)
+    texts = ["name\tage\tcity\n\n\nnext", "a\tb\tc\td\n\n\n\ne", " a\tb  c", "a b  c"]
+    texts += ["".join(r.choice(["a", "bc", "1", ".", " ", " ", "\n", "\n", "\t", " ", "᠎", "\x1c", "\r"]) for _ in range(r.randint(1, 14))) for _ in range(5000)]
+    assert tokens.count(path, texts) == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
