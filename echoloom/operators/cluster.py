@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,29 +15,57 @@ from . import compare as cmp
 from .index import similar_sets
 
 
-def pivots(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(pivot, member), the pivot among its members, of edges (a < b).
+def _greedy(links: DataFrame) -> DataFrame:
+    """(id, role) of the files of undecided links, settled in one task in order of ids. links: (a, b) with role_a, of a file that is settled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("a").to_numpy(), b.column("b").to_numpy(), np.array(b.column("role_a").to_pylist(), object)) for b in batches]
+        if not parts:
+            return
+        a, b, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+        roles = {int(x): r for x, r in zip(a, known, strict=True) if r != "open"}
+        ids, lower = np.unique(np.concatenate([a, b])), {}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            lower.setdefault(y, []).append(x)
+        opened = []
+        for i in ids.tolist():
+            if i not in roles:
+                roles[i] = "member" if any(roles[x] == "pivot" for x in lower.get(i, ())) else "pivot"
+                opened.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array(opened, pa.int64()), pa.array([roles[i] for i in opened], pa.string())], ["id", "role"])
+
+    return links.coalesce(1).mapInArrow(run, "id bigint, role string")
+
+
+def pivots(edges: DataFrame, in_one_task: int = 1_000_000) -> DataFrame:
+    """(pivot, member), the pivot among its members, of edges (a < b). Pivots that no file joins are left out.
 
     A file is a pivot if none of its lower neighbours is one; else it joins its lowest pivot
     neighbour. Each round settles the files whose lower neighbours are all settled as members, so
-    the groups are those of a greedy pass in order of ids; nothing is collected but counts.
+    the groups are those of a greedy pass in order of ids; nothing is collected but counts. Long
+    chains settle slowly: once at most ``in_one_task`` undecided links are left (pairs of numbers), one task
+    settles them in order of ids. Until then every round settles the lowest open files, so rounds end.
     """
     links = settle(edges.select("a", "b").distinct())
     nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     state = settle(nodes.withColumn("role", F.lit("open")))
-    for _ in range(rounds):
+    while True:
         low = links.join(state.select(F.col("id").alias("a"), F.col("role").alias("role_a")), "a")
         seen = low.groupBy("b").agg(F.max(F.col("role_a") == "open").alias("waits"), F.max(F.col("role_a") == "pivot").alias("near"))
         role = F.when(F.col("role") != "open", F.col("role")).when(F.coalesce("near", F.lit(False)), "member").when(F.coalesce("waits", F.lit(False)), "open").otherwise("pivot")
         state = settle(state.join(seen, F.col("id") == F.col("b"), "left").select("id", role.alias("role")))
-        if state.where("role = 'open'").limit(1).count() == 0:
+        opened = state.where("role = 'open'").select(F.col("id").alias("b"))
+        left = settle(links.join(opened, "b").join(state.select(F.col("id").alias("a"), F.col("role").alias("role_a")), "a"))
+        undecided = left.limit(in_one_task + 1).count()
+        if undecided <= in_one_task:
             break
-    else:
-        raise RuntimeError("clustering did not settle")
+    if undecided:
+        rest = _greedy(left.select("a", "b", "role_a")).select("id", F.col("role").alias("late"))
+        state = settle(state.join(rest, "id", "left").select("id", F.coalesce("late", "role").alias("role")))
     chosen = state.where("role = 'pivot'").select(F.col("id").alias("pivot"))
     member = state.where("role = 'member'").select(F.col("id").alias("member"))
-    joined = links.join(chosen, links.a == chosen.pivot).join(member, links.b == member.member).groupBy("member").agg(F.min("pivot").alias("pivot"))
-    return joined.select("pivot", "member").unionAll(chosen.select("pivot", F.col("pivot").alias("member")))
+    joined = settle(links.join(chosen, links.a == chosen.pivot).join(member, links.b == member.member).groupBy("member").agg(F.min("pivot").alias("pivot")).select("pivot", "member"))
+    return joined.unionAll(joined.select("pivot", F.col("pivot").alias("member")).distinct())
 
 
 def duplicate_edges(fps: DataFrame, c: CompareConfig = CompareConfig(), sliding: bool = False) -> DataFrame:  # noqa: B008
@@ -42,7 +74,7 @@ def duplicate_edges(fps: DataFrame, c: CompareConfig = CompareConfig(), sliding:
 
 
 def duplicate_groups(fps: DataFrame, c: CompareConfig = CompareConfig(), sliding: bool = False) -> DataFrame:  # noqa: B008
-    """(group_id, file_ids, avg_similarity): groups by falling mean similarity of all their pairs, then lowest id.
+    """(group_id, file_ids, avg_similarity) of groups of two files or more, with the mean similarity of all their pairs.
 
     Pairs that the quick filter rejects count 0 in the mean.
     """

@@ -306,7 +306,7 @@ low AS (SELECT ids.id, ids.k, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) A
 greedy(k, pivots) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT low.k, CASE WHEN list_has_any(pivots, low.low) THEN pivots ELSE list_append(pivots, low.id) END FROM greedy JOIN low ON low.k = greedy.k + 1),
 piv AS (SELECT unnest(arg_max(pivots, k)) AS p FROM greedy),
 mem AS (SELECT e.b AS m, min(e.a) AS p FROM e JOIN piv ON piv.p = e.a WHERE e.b NOT IN (SELECT p FROM piv) GROUP BY 1 UNION ALL SELECT p, p FROM piv),
-grp AS (SELECT p, list(m ORDER BY m) AS ids, count(*) AS n FROM mem GROUP BY 1),
+grp AS (SELECT p, list(m ORDER BY m) AS ids, count(*) AS n FROM mem GROUP BY 1 HAVING count(*) > 1),
 tot AS (SELECT x.p, sum(similarity_score) AS t FROM match JOIN mem x ON x.m = a JOIN mem y ON y.m = b AND x.p = y.p GROUP BY 1),
 groups AS (SELECT grp.p AS group_id, ids, n, round(coalesce(t, 0) / (n * (n - 1) / 2.0::DOUBLE), 9) AS avg_similarity FROM grp LEFT JOIN tot USING (p))"""
 _CLIP = """s AS (SELECT user_id AS clip_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS idx, value / 1000 AS v FROM events),

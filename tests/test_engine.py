@@ -103,12 +103,29 @@ def greedy(nodes, edges):
 
 def test_pivots(spark):
     rng = random.Random(3)
-    for n, m in ((3, 2), (40, 60), (60, 60)):
-        edges = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)} if n > 3 else {(0, 1), (1, 2)}
-        got = {}
-        for r in cluster.pivots(spark.createDataFrame(sorted(edges), "a long, b long")).collect():
-            got.setdefault(r["pivot"], set()).add(r["member"])
-        assert {k: v for k, v in got.items() if len(v) > 1} == greedy({x for e in edges for x in e}, edges)
+    chain = {(i, i + 1) for i in range(30)}
+    for edges in ({(0, 1), (1, 2)}, {(1, 3), (2, 3)}, chain, *({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)} for n, m in ((40, 60), (60, 60)))):
+        for in_one_task in (1_000_000, 4):
+            got = {}
+            for r in cluster.pivots(spark.createDataFrame(sorted(edges), "a long, b long"), in_one_task).collect():
+                got.setdefault(r["pivot"], set()).add(r["member"])
+            assert got == greedy({x for e in edges for x in e}, edges)
+
+
+def test_a_pivot_that_no_file_joins_is_no_group(spark, tmp_path):
+    """Texts 1 and 2 are both near text 3 and not near each other: text 3 joins 1, and 2 is alone."""
+    base = [f"w{i}" for i in range(203)]
+    edit = lambda first: " ".join("x" + w if i % 13 == first else w for i, w in enumerate(base))
+    rows = [(1, edit(0)), (2, edit(6)), (3, " ".join(base)), (4, "some other text that stands by itself and is long enough to count for something here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("duplicate_edges", "duplicate_groups", "group_summary", "groups_csv"):
+        got, want = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLE[name])
+        columns = sorted(got.columns)
+        assert plain([r.asDict() for r in got.collect()], columns) == plain([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()], columns)
+    assert [r["file_ids"] for r in QUERIES["duplicate_groups"](spark, str(tmp_path)).collect()] == ["1,3"]
+    assert QUERIES["duplicate_edges"](spark, str(tmp_path)).count() == 2
 
 
 def test_signal():
