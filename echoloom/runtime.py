@@ -1,19 +1,59 @@
-"""Materialising intermediate tables."""
+"""Materialising intermediate tables and numbering rows."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir that this session writes its intermediate tables to.
+
+    Where that is unset, a temporary folder is taken on a single machine; on a cluster its
+    executors would not share it, so that is an error.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="settled")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder (spark.checkpoint.dir; a temporary one where unset), without lineage.
+    """df as a Parquet table in the shared checkpoint folder, read again: without lineage, and read by column.
 
     Fingerprints are settled before they are exploded: else the optimizer repeats their
     computation below every Generate.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="settled"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a column of numbers from 0 by the given order; rows that are equal in it get numbers in no set order.
+
+    Rows are dealt out by ranges of the order and numbered within them; each range starts at the
+    count of rows before it. Only one count for each range comes to the driver.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settle(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before, starts = 0, []
+    for part in sorted(counts):
+        starts.append((part, before))
+        before += counts[part]
+    first = F.broadcast(spark.createDataFrame(starts, "_part int, _first bigint"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.join(first, "_part").withColumn(name, F.col("_first") + place).drop("_part", "_first")
