@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import string
-import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import settle
+
 #: White space of the word contracts: space and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,27 +24,105 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage.
+#: Bytes of an Arrow batch of whole texts: ten thousand long texts in one batch would fill a worker.
+ARROW = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = ARROW) -> Iterator[None]:
+    """Bounds the session's Arrow batches to ``most`` bytes, where they were larger, while the block runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    now = str(before).rstrip("b")
+    lower = not now.isdigit() or int(now) <= 0 or int(now) > most
+    if lower:
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if lower:
+            spark.conf.set(key, before)
+
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) a temporary one is taken.
+def cut(df: DataFrame, texts: bool = False) -> DataFrame:
+    """df written to a table in the shared checkpoint folder and read again, without lineage. texts: df hands texts to Python, in batches bounded by bytes.
+
+    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset
+    on a single machine.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint(eager=True)
+    if texts:
+        with small_batches(df.sparkSession):
+            return settle(df)
+    return settle(df)
+
 
+def small(df: DataFrame, rows: int, size: int | None = None) -> bool:
+    """True if df has at most that many rows and, if asked, bytes (as JSON); reads no more than one row beyond."""
+    some = df.limit(rows + 1)
+    if size is None:
+        return some.count() <= rows
+    got = some.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("b")).first()
+    return got["n"] <= rows and (got["b"] or 0) <= size
 
-def small(df: DataFrame, rows: int) -> bool:
-    """True if df has at most that many rows; reads no more than one row beyond them."""
-    return df.limit(rows + 1).count() <= rows
 
+#: What may be broadcast at most, as JSON; rows that any one task can hold, so that their keys need no spreading.
+BROADCAST, PLAIN = 48 << 20, 2000
 
-def bounded_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str, rows: int) -> DataFrame:
-    """Join that broadcasts ``right`` only after counting at most ``rows`` rows in it, else shuffles both."""
-    return left.join(F.broadcast(right) if small(right, rows) else right.hint("shuffle_hash"), on, how)
+
+def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", counted: str | None = None, total: int | None = None) -> DataFrame:
+    """Join of rows with a table of one row (or a few) for each key, such that no key gathers its rows in one task.
+
+    Keys that hold more than an eighth of a partition's fair share of left's rows are fewer than
+    eight times the shuffle partitions, whatever the data: right's rows of those are broadcast and left's
+    rows stay where they lie. Rows with a null key match nothing and are not shuffled either.
+    All others meet in a shuffle. how: inner, left, left_semi or left_anti. left is read several
+    times, so it should be a written table. counted: a column of right that holds how many rows of
+    left have its key, total: left's rows, where the caller knows them; else they are counted.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    some, total = left.where(~no_key), left.count() if total is None else total
+    fair = max(16, total // (8 * parts))
+    rows = right.select(*keys, F.col(counted).alias("_rows")) if counted else some.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    right = right.drop(counted) if counted else right
+    heavy = rows.where(F.col("_rows") > fair).select(*keys)
+    if total > PLAIN and not small(heavy, 0):
+        heavy = cut(heavy)
+        of_heavy = right.join(F.broadcast(heavy), keys, "left_semi")
+    else:
+        heavy = None
+    if heavy is None or not small(of_heavy, 8 * parts * 16, BROADCAST):
+        out = some.join(right, keys, how)
+    else:
+        marked = some.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), keys, "left").select(*[F.col(f"`{c}`") for c in left.columns], "_heavy")
+        out = marked.where("_heavy").drop("_heavy").join(F.broadcast(of_heavy), keys, how)
+        out = out.unionByName(marked.where("_heavy is null").drop("_heavy").join(right, keys, how))
+    if how in ("left", "left_anti"):
+        out = out.unionByName(left.where(no_key), allowMissingColumns=True)
+    return out
+
+
+#: Marks that keys fall on, where rows that can't meet are held back from a shuffle.
+MARKS = 1 << 20
+
+
+def bounded_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str, rows: int, counted: str | None = None, wide: bool = False) -> DataFrame:
+    """Join that broadcasts ``right`` only after measuring at most ``rows`` rows and BROADCAST bytes in it, else spreads both.
+
+    counted: as for spread_join. wide: left holds texts; of those only rows whose key falls on a
+    mark of right's keys move, and the marks broadcast for that are MARKS numbers at most.
+    """
+    if small(right, rows, BROADCAST):
+        return left.join(F.broadcast(right.drop(counted) if counted else right), on, how)
+    if not wide:
+        return spread_join(left, right, on, how, counted)
+    mark = F.pmod(F.xxhash64(*([on] if isinstance(on, str) else on)), F.lit(MARKS)).alias("_mark")
+    marks, marked = F.broadcast(right.select(mark).distinct()), left.select("*", mark)
+    out = spread_join(marked.join(marks, "_mark", "left_semi").drop("_mark"), right, on, how, counted)
+    if how in ("left", "left_anti"):
+        out = out.unionByName(marked.join(marks, "_mark", "left_anti").drop("_mark"), allowMissingColumns=True)
+    return out
 
 
 def packed(df: DataFrame, **named: Column) -> DataFrame:
@@ -49,20 +131,9 @@ def packed(df: DataFrame, **named: Column) -> DataFrame:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """Non-null key of a row's content. Rows that share it have equal results, so joins on it lose nothing."""
-    return F.xxhash64(doc_id, text)
-
-
-def to_python(df: DataFrame, most: int = 4 << 20) -> DataFrame:
-    """df, with its session's Arrow batches bounded to ``most`` bytes where they were larger.
-
-    Ten thousand long texts in one batch would fill a worker; the setting stays for the session.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(conf.get(key)).rstrip("b")
-    if not now.isdigit() or int(now) <= 0 or int(now) > most:
-        conf.set(key, str(most))
-    return df
+    """Non-null key of 16 bytes of a row's content: two hashes of 64 bits from different seeds. Rows that share it have equal results, so joins on it lose nothing."""
+    halves = (F.xxhash64(doc_id, text), F.xxhash64(F.lit(0x2545F4914F6CDD1D).cast("long"), text, doc_id))
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -132,13 +203,17 @@ class Pieces:
         return out
 
     def _found(self, pieces: set[str]) -> dict[str, object]:
-        """Values of unseen pieces. A letter and the signs after it are always apart, so "word," is "word" and ","."""
+        """Values of unseen pieces. A letter and the signs after it are apart, so "word," is "word" and ",".
+
+        That holds for letters that stay letters in lower case and normal form, as those of the
+        Latin blocks do but for the dotted capital I; pieces with other letters before signs are encoded whole.
+        """
         new, joint = {}, []
         listed: set[str] = set()
         for piece in pieces:
             if piece in self.old:
                 new[piece] = self.old[piece]
-            elif not self.before and (stem := piece.rstrip(SIGNS)) and len(stem) < len(piece) and stem[-1].isalpha() and "<|" not in piece:
+            elif not self.before and (stem := piece.rstrip(SIGNS)) and len(stem) < len(piece) and stem[-1] < "\u0250" and stem[-1] != "\u0130" and stem[-1].isalpha() and "<|" not in piece:
                 tail = piece[len(stem) :]
                 joint.append((piece, stem, tail))
                 listed.update(p for p in (stem, tail) if p not in self.young)

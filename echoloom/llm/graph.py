@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars.
 
 Every round is two aggregations and two equi-joins on the edges; a component of any diameter
-becomes a star in O(log n) rounds. Nothing is collected but one row of checksums each round.
+becomes a star in O(log n) rounds. A hub's edges stay spread over tasks: its minimum is broadcast
+to them. Nothing is collected but one row of checksums each round.
 """
 
 from __future__ import annotations
@@ -9,18 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+    return spread_join(both, least, "u", counted="n", total=2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small(edges: DataFrame, n: int) -> DataFrame:
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    moved = spread_join(edges, least, "u", counted="n", total=n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,7 +40,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     state = _state(now)
     if state[0]:
         for _ in range(rounds):
-            now = cut(_small(_large(now)))
+            now = cut(_small(cut(_large(now, state[0])), state[0]))
             state, last = _state(now), state
             if state == last:
                 break
