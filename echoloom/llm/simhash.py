@@ -1,18 +1,21 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Fingerprints within ``distance`` bits agree on one of distance + 1 blocks of bits, and what then
-differs outside that block again spares one of distance + 1 sub-blocks. Each distinct fingerprint
-is dealt out once for each (block, sub-block): the shared bits are the topmost node of the
-hierarchy, so all pairs in reach meet in a node, and nodes spread over the cluster by key. Within
-a node, codes are sorted by Gray rank; upper nodes hold the bits that a run of codes shares
-(pattern under mask), and a search adds up differences from the top down and drops a whole run as
-soon as they exceed the distance. Copies of a text have one fingerprint and take part once.
+Fingerprints within ``distance`` bits agree on one of distance + 1 blocks of bits. For each block
+the index is a hierarchy over codes whose bits are put in order with that block first. Its topmost
+nodes hold the codes that share the first few bits, as few as leave about NODE codes to a node, and
+are dealt out over the cluster. Within a node, codes are sorted by Gray rank; further nodes hold
+the bits that a run of codes shares (pattern under mask), and a search adds up differences from
+the top down and drops a whole run as soon as they exceed the distance. A node of too many codes
+is divided by the rest of its block, then by blocks of what is left of the bits, again distance + 1
+of them, so that no pair in reach is parted and a node cannot stay full: after a few divisions
+there are not bits enough left. Copies of a text have one fingerprint and take part once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_join, cut, packed, row_key, slices, small, to_python
+from .common import bounded_join, cut, packed, row_key, slices, small, spread_join
 from .graph import components
 
-FAN = 16
+#: Nodes that one node of the next level up covers; codes aimed at, and at most, in one of the dealt nodes.
+FAN, NODE, FULL = 16, 1024, 16_384
 
 
 def _hashed(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -67,7 +71,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, rk, fp): one row for each row of docs; rk is the row's content key."""
+    """(doc_id, rk, fp), a written table: one row for each row of docs; rk is the row's content key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -76,7 +80,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return to_python(named.withColumn("rk", row_key(F.col("doc_id"), F.col("text")))).mapInArrow(run, f"doc_id {kind}, rk long, fp long")
+    return cut(named.withColumn("rk", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(run, f"doc_id {kind}, rk binary, fp long"), texts=True)
 
 
 def _gray_rank(x: np.ndarray) -> np.ndarray:
@@ -89,16 +93,17 @@ def _gray_code(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(1))
 
 
-def _layouts(distance: int) -> list[tuple[list[int], int]]:
-    """For each (block, sub-block): the order of bits with the key bits first, and how many are key bits."""
+def _layouts(distance: int, level: int, coarse: int = 0) -> list[tuple[list[int], int]]:
+    """For each path of the level: the order of bits with the key bits first, and how many are key bits.
+
+    A path of level 0 or 1 is a block, of which level 0 takes the first ``coarse`` bits as key; each
+    further level adds one of distance + 1 blocks of the bits left.
+    """
     parts = distance + 1
-    out = []
-    for block in np.array_split(np.arange(64), parts):
-        rest = [i for i in range(64) if i not in set(block.tolist())]
-        for sub in np.array_split(np.array(rest), parts):
-            own = set(sub.tolist())
-            out.append(([*block.tolist(), *sub.tolist(), *[i for i in rest if i not in own]], len(block) + len(sub)))
-    return out
+    paths: list[list[int]] = [[]]
+    for _ in range(max(1, level)):
+        paths = [[*own, *block.tolist()] for own in paths for block in np.array_split(np.array([i for i in range(64) if i not in own]), parts)]
+    return [([*own, *[i for i in range(64) if i not in own]], min(coarse, len(own)) if level == 0 else len(own)) for own in paths]
 
 
 def _permute(x: np.ndarray, order: list[int]) -> np.ndarray:
@@ -106,17 +111,20 @@ def _permute(x: np.ndarray, order: list[int]) -> np.ndarray:
     return np.packbits(bits[:, order], axis=1).reshape(-1).view(">u8").astype(np.uint64)
 
 
-def _deal(distance: int):
-    layouts = _layouts(distance)
+def _deal(distance: int, level: int, coarse: int):
+    """Rows (path, fp) to rows (path, key, rank, fp) of the level. Above level 0, path is that of the level before."""
+    layouts, parts = _layouts(distance, level, coarse), distance + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column("fp").to_numpy(zero_copy_only=False)
+            fps, paths = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "path"))
             for t, (order, n_key) in enumerate(layouts):
+                fp = fps if level == 0 else fps[paths == (t if level == 1 else t // parts)]
+                if not len(fp):
+                    continue
                 code = _permute(fp.view(np.uint64), order)
-                rank = _gray_rank(code)
-                key = (np.uint64(t) << np.uint64(n_key)) | (code >> np.uint64(64 - n_key))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(rank.view(np.int64)), pa.array(fp)], ["key", "rank", "fp"])
+                key = code >> np.uint64(64 - n_key) if n_key else np.zeros(len(code), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(key.view(np.int64)), pa.array(_gray_rank(code).view(np.int64)), pa.array(fp)], ["path", "key", "rank", "fp"])
 
     return run
 
@@ -161,12 +169,14 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return n if n.ndim == 1 else n.sum(1, dtype=np.int64)
 
 
-def search(levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query index, leaf index) of all pairs within the distance, from the top level down."""
+def search(levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, distance: int, tried: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query index, leaf index) of all pairs within the distance, from the top level down. tried: gets how many nodes each level was asked for."""
     pattern, mask = levels[-1]
     q, node = np.repeat(np.arange(len(queries)), len(pattern)), np.tile(np.arange(len(pattern)), len(queries))
     far = _bits((queries[q] ^ pattern[node]) & mask[node])
     for k in range(len(levels) - 1, -1, -1):
+        if tried is not None:
+            tried.append(len(q))
         keep = far <= distance
         q, node, far = q[keep], node[keep], far[keep]
         if k == 0:
@@ -180,66 +190,72 @@ def search(levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, dis
     return q, node
 
 
-def _meet(key: np.ndarray, rank: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
-    """At most one edge for each fingerprint, to the smallest it reaches within the nodes at hand."""
-    code, union = _gray_code(rank.view(np.uint64)), _Union(len(key))
-    edge = np.flatnonzero(np.diff(key)) + 1
-    starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
-    sizes = ends - starts
-    rows = np.repeat(sizes <= FAN, sizes)
-    for step in range(1, FAN):
-        a = np.flatnonzero(rows[:-step] & (key[step:] == key[:-step])) if len(key) > step else np.empty(0, int)
-        if not len(a):
-            break
-        a = a[np.bitwise_count(code[a] ^ code[a + step]) <= distance]
-        union.add(a, a + step)
-    for s, e in zip(starts[sizes > FAN], ends[sizes > FAN], strict=True):
-        levels, chunk = hierarchy(code[s:e]), max(1, 2_000_000 // int(e - s))
-        for i in range(int(s), int(e), chunk):
+def _meet(node: np.ndarray, rank: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
+    """At most one edge for each fingerprint, to the smallest it reaches within the nodes at hand. node: sorted."""
+    code, union = _gray_code(rank.view(np.uint64)), _Union(len(node))
+    edge = np.flatnonzero(np.diff(node)) + 1
+    for s, e in zip(np.concatenate(([0], edge)).tolist(), np.concatenate((edge, [len(node)])).tolist(), strict=True):
+        if e - s < 2:
+            continue
+        levels, chunk = hierarchy(code[s:e]), max(1, 2_000_000 // (e - s))
+        for i in range(s, e, chunk):
             q, leaf = search(levels, code[i : min(e, i + chunk)], distance)
             union.add(q + i, leaf + s)
-    moved = np.flatnonzero(union.of != np.arange(len(key)))
+    moved = np.flatnonzero(union.of != np.arange(len(node)))
     return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[union.of[moved]])], ["a", "b"])
 
 
 def _nodes(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+        node, rank, fp = (np.empty(0, np.int64) for _ in range(3))
+        last = None
         for b in batches:
-            held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rank", "fp")))
-            rows += b.num_rows
-            if rows < 100_000:
-                continue
-            key, rank, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            before = np.flatnonzero(key != key[-1])
-            whole = int(before[-1]) + 1 if len(before) else 0
-            if whole:
-                yield _meet(key[:whole], rank[:whole], fp[:whole], distance)
-            held, rows = [(key[whole:], rank[whole:], fp[whole:])], len(key) - whole
-        if rows:
-            yield _meet(*(np.concatenate(x) for x in zip(*held, strict=True)), distance)
+            path, key = (b.column(c).to_numpy(zero_copy_only=False) for c in ("path", "key"))
+            new = np.ones(len(key), np.int64)
+            new[1:] = (path[1:] != path[:-1]) | (key[1:] != key[:-1])
+            new[0] = last != (path[0], key[0])
+            last = (path[-1], key[-1])
+            node = np.concatenate((node, (node[-1] if len(node) else 0) + np.cumsum(new)))
+            rank, fp = (np.concatenate((x, b.column(c).to_numpy(zero_copy_only=False))) for x, c in ((rank, "rank"), (fp, "fp")))
+            if len(node) >= 50_000 and (whole := int(np.searchsorted(node, node[-1]))):
+                yield _meet(node[:whole], rank[:whole], fp[:whole], distance)
+                node, rank, fp = node[whole:], rank[whole:], fp[whole:]
+        if len(node):
+            yield _meet(node, rank, fp, distance)
 
     return run
 
 
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
+def links(fps: DataFrame, distance: int = 2, node: int = NODE, full: int = FULL, broadcast_rows: int = 100_000) -> DataFrame:
     """(a, b): edges that connect exactly the fingerprints which chains of links within the distance connect.
 
-    fps: distinct, column ``fp``.
+    fps: distinct, column ``fp``, a written table. node: codes aimed at in a dealt node; nodes
+    of more than ``full`` codes are divided. There are as many nodes as shuffle partitions at least.
     """
-    dealt = fps.select("fp").mapInArrow(_deal(distance), "key long, rank long, fp long")
-    return dealt.repartition("key").sortWithinPartitions("key", "rank").mapInArrow(_nodes(distance), "a long, b long").distinct()
+    n, parts = fps.count(), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coarse = max(0, int(np.ceil(np.log2(max(1, n / node, parts if n > parts else 1)))))
+    now, found, level = fps.select(F.lit(0).alias("path"), "fp"), [], 0
+    while True:
+        dealt = now.mapInArrow(_deal(distance, level, coarse), "path int, key long, rank long, fp long")
+        last = all(2 ** (64 - n_key) <= full for _, n_key in _layouts(distance, level, coarse))
+        hot = cut(dealt.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > full).select("path", "key"))
+        divided = not last and not small(hot, 0)
+        rest = bounded_join(dealt, hot, ["path", "key"], "left_anti", broadcast_rows) if divided else dealt
+        found.append(rest.repartition("path", "key").sortWithinPartitions("path", "key", "rank").mapInArrow(_nodes(distance), "a long, b long"))
+        if not divided:
+            return reduce(DataFrame.unionAll, found).distinct()
+        now, level = cut(bounded_join(dealt, hot, ["path", "key"], "left_semi", broadcast_rows).select("path", "fp")), level + 1
 
 
 def _resolved(docs: DataFrame, doc_id: str, text: str, width: int, distance: int) -> DataFrame:
     """(doc_id, rk, fp, component_id, winner): winner is the row key of the component's row that stays."""
-    prints = cut(fingerprints(docs, doc_id, text, width))
-    each = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("w"))
+    prints = fingerprints(docs, doc_id, text, width)
+    each = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("w"), F.count("*").alias("n")))
     joined = components(links(each, distance), "a", "b")
-    rooted = each.join(joined, each.fp == joined.node, "left").select("fp", "first_id", "w", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("w").alias("w"))
-    return prints.join(rooted.join(least.select("root", "component_id", F.col("w.rk").alias("winner")), "root").select("fp", "component_id", "winner"), "fp")
+    rooted = cut(each.join(joined, each.fp == joined.node, "left").select("fp", "n", "first_id", "w", F.coalesce("component", "fp").alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("w").alias("w"), F.count("*").alias("m")).select("root", "component_id", F.col("w.rk").alias("winner"), "m"))
+    of = cut(spread_join(rooted.select("fp", "n", "root"), least, "root", counted="m").select("fp", "n", "component_id", "winner"))
+    return spread_join(prints, of, "fp", counted="n")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
@@ -257,11 +273,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _only(docs: DataFrame, kept: DataFrame, doc_id: str, text: str, broadcast_rows: int) -> DataFrame:
     """The rows of docs whose row key is in kept (rk, _n), once each."""
     rows = packed(docs, rk=row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    once = bounded_join(rows, kept.where("_n = 1"), "rk", "left_semi", broadcast_rows).select("_row.*")
-    again = kept.where("_n > 1")
+    once = bounded_join(rows, kept.where("_n = 1").select("rk"), "rk", "left_semi", broadcast_rows, wide=True).select("_row.*")
+    again = kept.where("_n > 1").select("rk")
     if small(again, 0):
         return once
-    repeats = bounded_join(rows, again, "rk", "left_semi", broadcast_rows).groupBy("rk").agg(F.first("_row").alias("_row"))
+    repeats = bounded_join(rows, again, "rk", "left_semi", broadcast_rows, wide=True).groupBy("rk").agg(F.first("_row").alias("_row"))
     return once.unionAll(repeats.select("_row.*"))
 
 
@@ -436,7 +452,7 @@ def near_links(classes: DataFrame, w: Wide = Wide(), band: tuple[int, int] | Non
         of = bounded_join(filed, chunks, "key", "left", 100_000).withColumn("m", F.coalesce("m", F.lit(1)))
         of = of.withColumn("part", F.pmod(F.xxhash64("sig"), "m").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         dealt = of.select("key", "sig", F.least("part", "i").alias("lo"), F.greatest("part", "i").alias("hi"))
-    met = to_python(dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi"))
+    met = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return met.mapInArrow(_near_nodes(w, band), "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -456,11 +472,15 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> float:
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float, w: Wide) -> DataFrame:
     """The pairs (a, b, ra, rb) whose texts have the similarity. texts: rk, text. A text with many links is copied to as many tasks."""
-    busy = cut(pairs.select(F.col("rb").alias("rk")).groupBy("rk").agg(F.count("*").alias("n")))
-    salted = texts.join(busy, "rk").select(F.col("rk").alias("rb"), F.col("text").alias("tb"), F.ceil(F.col("n") / w.text_links).cast("int").alias("m"))
-    right = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).drop("m")
-    left = pairs.join(busy.select(F.col("rk").alias("rb"), "n"), "rb").withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / w.text_links)).cast("int"))
-    left = left.select("a", "b", "ra", "rb", "salt").join(texts.select(F.col("rk").alias("ra"), F.col("text").alias("ta")), "ra")
+
+    def end(left: DataFrame, r: str, other: str, t: str) -> DataFrame:
+        busy = cut(pairs.groupBy(r).agg(F.ceil(F.count("*") / w.text_links).cast("int").alias("m")))
+        copied = texts.select(F.col("rk").alias(r), F.col("text").alias(t)).join(busy, r).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).drop("m")
+        many = busy.where("m > 1")  # fewer than links / text_links
+        salted = bounded_join(left, many, r, "left", 100_000).withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("m", F.lit(1))).cast("int")).drop("m")
+        return salted.join(copied, [r, "salt"]).drop("salt")
+
+    met = end(end(pairs, "ra", "b", "ta"), "rb", "a", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -469,7 +489,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float, w: W
             near = [_overlap(sets[x], sets[y]) >= least for x, y in zip(ta, tb, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return to_python(left.join(right, ["rb", "salt"]).select("a", "b", "ta", "tb")).mapInArrow(run, "a binary, b binary")
+    return met.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
 def _near_copies(docs: DataFrame, doc_id: str, text: str, width: int, least: float, w: Wide, broadcast_rows: int) -> DataFrame:
@@ -487,17 +507,18 @@ def _near_copies(docs: DataFrame, doc_id: str, text: str, width: int, least: flo
 
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("rk", row_key(F.col("doc_id"), F.col("text")))
-    prints = cut(to_python(named).mapInArrow(run, f"doc_id {kind}, rk long, sig binary, cells array<long>"))
+    prints = cut(named.mapInArrow(run, f"doc_id {kind}, rk binary, sig binary, cells array<long>"), texts=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("w")
-    each = cut(prints.groupBy("sig").agg(first, F.first("cells").alias("cells")))
-    links = cut(near_links(each, w))
+    each = cut(prints.groupBy("sig").agg(first, F.first("cells").alias("cells"), F.count("*").alias("n")))
+    links = cut(near_links(each, w), texts=True)
     rep = each.select("sig", F.col("w.rk").alias("rk"))
     wanted = cut(links.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(rep, "sig"))
-    texts = cut(bounded_join(named.select("rk", "text"), wanted.select("rk").distinct(), "rk", "left_semi", broadcast_rows).groupBy("rk").agg(F.first("text").alias("text")))
+    texts = cut(bounded_join(named.select("rk", "text"), wanted.select("rk").distinct(), "rk", "left_semi", broadcast_rows, wide=True).groupBy("rk").agg(F.first("text").alias("text")))
 
     def alike(found: DataFrame) -> DataFrame:
-        pairs = found.join(rep.select(F.col("sig").alias("a"), F.col("rk").alias("ra")), "a").join(rep.select(F.col("sig").alias("b"), F.col("rk").alias("rb")), "b")
-        return cut(_verified(cut(pairs.select("a", "b", "ra", "rb")), texts, width, least, w))
+        one = cut(spread_join(found.select("a", "b"), rep.select(F.col("sig").alias("a"), F.col("rk").alias("ra")), "a"))
+        pairs = cut(spread_join(one, rep.select(F.col("sig").alias("b"), F.col("rk").alias("rb")), "b").select("a", "b", "ra", "rb"))
+        return cut(_verified(pairs, texts, width, least, w), texts=True)
 
     good = alike(links)
     joined = components(good, "a", "b")
@@ -507,12 +528,13 @@ def _near_copies(docs: DataFrame, doc_id: str, text: str, width: int, least: flo
         met = cut(each.join(wanted.select("sig"), "sig", "left_semi").select("sig", "cells"))
         for band in ((0, part), (part + 1, w.radius)):
             now = cut(met.join(joined, met.sig == joined.node, "left").select("sig", "cells", F.coalesce("component", "sig").alias("root")))
-            more = cut(near_links(now, w, band).join(links, ["a", "b"], "left_anti"))
+            more = cut(near_links(now, w, band).join(links, ["a", "b"], "left_anti"), texts=True)
             if not small(more, 0):
                 joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(alike(more)), "a", "b")
-    rooted = each.join(joined, each.sig == joined.node, "left").select("sig", "w", F.coalesce("component", "sig").alias("root"))
-    winners = rooted.groupBy("root").agg(F.min("w").alias("w"))
-    return rooted.select("sig", "root").join(winners, "root").select(F.col("w.rk").alias("component"), "sig").join(prints.select("sig", "rk"), "sig").select("rk", "component")
+    rooted = cut(each.join(joined, each.sig == joined.node, "left").select("sig", "w", "n", F.coalesce("component", "sig").alias("root")))
+    winners = cut(rooted.groupBy("root").agg(F.min("w").alias("w"), F.count("*").alias("m")).select("root", F.col("w.rk").alias("component"), "m"))
+    of = cut(spread_join(rooted.select("sig", "n", "root"), winners, "root", counted="m").select("sig", "n", "component"))
+    return spread_join(prints.select("sig", "rk"), of, "sig", counted="n").select("rk", "component")
 
 
 def one_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, wide: Wide = Wide(), broadcast_rows: int = 500_000) -> DataFrame:  # noqa: B008
