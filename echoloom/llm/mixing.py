@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import numbered
 from .common import WORD, bounded_join, cut, packed
 
 _BUCKETS = 1024
@@ -30,24 +31,25 @@ def source_key(source: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
-    """skey, source_size and target of each source; sources: skey, source, source_size.
+    """skey, source_size and target of each source; sources: skey, source, source_size, a written table.
 
     Weights repeat over the sources by code point, null last. Sources whose part of ``share``
     times all tokens would pass ``most`` times their size stop there, and the excess goes to the
-    rest by weight until none is above: in order of size by weight the stopped sources come first.
+    rest by weight until none is above: the level of the rest rises with each round of stops. Only
+    sums come to the driver, and sources are numbered in ranges, however many there are.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((place - 1) % len(weights) + 1).cast("int"))
-    weighed = sources.withColumn("w", w).withColumn("cap", most * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "skey")
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy()) * share
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    levels = weighed.withColumn("level", level)
-    stop = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
-    # the first source that is not stopped sets the level of all after it
-    settled = F.first(stop, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return levels.withColumn("settled", settled).select("skey", "source_size", F.when(F.col("settled").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("settled") * F.col("w"))).alias("target"))
+    placed = numbered(sources.withColumn("_no", F.col("source").isNull()), [F.col("_no"), F.col("source")], "place")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = cut(placed.select("skey", "source_size", w.alias("w"), (most * F.col("source_size")).alias("cap")))
+    total = share * float(weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    level, before = 0.0, None
+    while True:
+        over = F.col("cap") < level * F.col("w")
+        got = weighed.agg(_exact(F.when(over, F.col("cap")).otherwise(0.0)).alias("caps"), _exact(F.when(over, 0.0).otherwise(F.col("w"))).alias("free"), F.sum(over.cast("long")).alias("stopped")).first()
+        if not got["free"] or got["stopped"] == before:
+            break
+        level, before = (total - got["caps"]) / got["free"], got["stopped"]
+    return weighed.select("skey", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target") if got["free"] else F.col("cap").alias("target"))
 
 
 def _exact(c: Column) -> Column:
@@ -103,14 +105,14 @@ def _rounded(classes: DataFrame, most: int) -> DataFrame:
     return now.select("skey", "size", "n", "m")
 
 
-def copies_by_class(base: DataFrame, weights: list[float], share: float, most: int) -> tuple[DataFrame, DataFrame]:
-    """(classes: skey, size, whole, extra_below; goals: skey, source_size, target).
+def copies_by_class(base: DataFrame, weights: list[float], share: float, most: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(classes: skey, size, n, whole, extra_below; goals: skey, source_size, target).
 
     base: skey, source, size, h. A document takes ``whole`` copies, and one more if its h (then
     unsigned) is below extra_below or equal to it.
     """
     classes = cut(base.groupBy("skey", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")))
-    sources = classes.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.first("source").alias("source"))
+    sources = cut(classes.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.first("source").alias("source")))
     goals = cut(targets(sources, weights, share, most))
     lam = solve_dual(classes, goals, most)
     full = F.col("target") >= most * F.col("source_size")
@@ -120,15 +122,16 @@ def copies_by_class(base: DataFrame, weights: list[float], share: float, most: i
     split = rounded.withColumn("whole", F.floor(F.col("m") / F.col("n"))).withColumn("k", F.col("m") - F.col("whole") * F.col("n")).drop("m")
     # the k-th smallest hash of a class: first its bucket, by counts, then its rank within that bucket alone
     some = split.where("k > 0").select("skey", "size", "k")
-    bucket = F.shiftrightunsigned("h", 54).cast("int")
-    hashed = base.select("skey", "size", "h", bucket.alias("bucket")).join(some, ["skey", "size"])
-    per = hashed.groupBy("skey", "size", "k", "bucket").agg(F.count("*").alias("c"))
+    # (buckets of a class are counted before any shuffle, and a class meets its bucket's rows alone)
+    hashed = base.select("skey", "size", "h", F.shiftrightunsigned("h", 54).cast("int").alias("bucket"))
+    per = hashed.groupBy("skey", "size", "bucket").agg(F.count("*").alias("c")).join(some, ["skey", "size"])
     upto = F.sum("c").over(Window.partitionBy("skey", "size").orderBy("bucket"))
-    crossing = per.withColumn("upto", upto).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("c") < F.col("k"))).select("skey", "size", "bucket", (F.col("k") - F.col("upto") + F.col("c")).alias("nth"))
+    crossing = cut(per.withColumn("upto", upto).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("c") < F.col("k"))).select("skey", "size", "bucket", (F.col("k") - F.col("upto") + F.col("c")).alias("nth")))
     unsigned = F.col("h").bitwiseXOR(F.lit(-(2**63)).cast("long"))
-    rank = F.row_number().over(Window.partitionBy("skey", "size").orderBy(unsigned))
-    last = hashed.select("skey", "size", "bucket", "h").join(crossing, ["skey", "size", "bucket"]).withColumn("rank", rank).where("rank = nth").select("skey", "size", unsigned.alias("extra_below"))
-    return cut(split.select("skey", "size", "whole").join(last, ["skey", "size"], "left")), goals
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy(unsigned))
+    near = bounded_join(hashed, crossing, ["skey", "size", "bucket"], "inner", broadcast_rows)
+    last = near.withColumn("rank", rank).where("rank = nth").select("skey", "size", unsigned.alias("extra_below"))
+    return cut(split.select("skey", "size", "n", "whole").join(last, ["skey", "size"], "left")), goals
 
 
 def _copies(h: Column) -> Column:
@@ -146,9 +149,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"))
     base = cut(named.select("doc_id", "source", source_key(F.col("source")).alias("skey"), size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h")))
-    classes, goals = copies_by_class(base, list(weights), share, most)
-    out = bounded_join(base, classes, ["skey", "size"], "inner", broadcast_rows).withColumn("copies", _copies(F.col("h")))
-    out = bounded_join(out, goals, "skey", "inner", broadcast_rows)
+    classes, goals = copies_by_class(base, list(weights), share, most, broadcast_rows)
+    of_class = cut(classes.join(goals, "skey"))
+    out = bounded_join(base, of_class, ["skey", "size"], "inner", broadcast_rows, counted="n").withColumn("copies", _copies(F.col("h")))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -156,6 +159,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     """The rows of docs, each as often as the mix takes it; all columns are kept. Cases are as in ``mix``."""
     rows = packed(docs, skey=source_key(F.col(f"`{source}`")), source=F.col(f"`{source}`"), size=size_of(F.col(f"`{text}`")), h=F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
     base = cut(rows.select("skey", "source", "size", "h"))
-    classes, _ = copies_by_class(base, list(weights), share, most)
-    taken = bounded_join(rows.drop("source"), classes, ["skey", "size"], "inner", broadcast_rows).withColumn("copies", _copies(F.col("h"))).where("copies > 0")
+    classes, _ = copies_by_class(base, list(weights), share, most, broadcast_rows)
+    taken = bounded_join(rows.drop("source"), classes, ["skey", "size"], "inner", broadcast_rows, counted="n").withColumn("copies", _copies(F.col("h"))).where("copies > 0")
     return taken.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
