@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, slices, to_python
+from .common import bounded_join, cut, packed, row_key, slices, small_batches
 
-#: Hashed features; documents of each language in the fitting sample; the most languages there may be.
-BUCKETS, PER_LANGUAGE, LANGUAGES = 8192, 240, 512
+#: Hashed features; documents of each language in the fitting sample, and in all of it; the most languages there may be.
+BUCKETS, PER_LANGUAGE, SAMPLE, LANGUAGES = 8192, 240, 6000, 512
 #: A text is foreign from this loss of its nearest codeword on, if it is ambiguous too and has letters enough to tell.
 FOREIGN, LETTERS = 0.7, 20
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -79,11 +79,13 @@ class Model:
         return self.languages[best], float(p[best]), ambiguous, bool(foreign)
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE, penalty: float = 0.3) -> Model:
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE, penalty: float = 0.3) -> Model:
     """A model from at most per_language texts of each language, those of least content hash.
 
-    rows: the labelled texts allowed for learning; null texts or labels are passed over. The
-    sample's feature vectors, per_language times the languages at most, are all that comes to the driver.
+    rows: the labelled texts allowed for learning; null texts or labels are passed over. Where
+    languages are so many that this would pass sample_rows in all, each gives an equal part of those,
+    8 at least; that bounds the driver's memory (a row of BUCKETS numbers for each text, and a square matrix). More than LANGUAGES
+    labels are an error.
     """
     named = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{doc_id}`").alias("doc_id"))
     named = named.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -92,12 +94,12 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return Model([], np.ones((0, 1)), np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1))
-    most = max(8, min(per_language, 12_000 // len(sizes)))
+    most = max(8, min(per_language, sample_rows // len(sizes)))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * (most + 8) / n)))])
-    # the id's hash thins out rows before texts are read; ranks are then taken among few
-    h = F.xxhash64("doc_id")
+    # the content's hash thins out rows; ranks are then taken among few
+    h = F.xxhash64("doc_id", "text")
     thin = named.where(F.abs(h % 1_000_000) < share[F.col("lang")] * 1_000_000)
-    first = Window.partitionBy("lang").orderBy(h, F.xxhash64("text"))
+    first = Window.partitionBy("lang").orderBy(h)
     sample = thin.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +107,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             got = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([a.astype("<u2").tobytes() for a, _ in got]), pa.array([v.astype("<f4").tobytes() for _, v in got])], ["lang", "at", "v"])
 
-    got = sorted(to_python(sample).mapInArrow(run, "lang string, at binary, v binary").collect(), key=lambda r: (r["lang"], r["at"], r["v"]))
+    with small_batches(rows.sparkSession):
+        got = sorted(sample.mapInArrow(run, "lang string, at binary, v binary").collect(), key=lambda r: (r["lang"], r["at"], r["v"]))
     languages = sorted({r["lang"] for r in got})
     code = codewords(len(languages))
     x = np.zeros((len(got), BUCKETS), np.float32)
@@ -123,22 +126,31 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs packed as ``_row`` with ``lang_pred``, ``score`` (0 to 1), ``ambiguous`` and ``foreign``.
+    """(doc_id, rk, lang_pred, score (0 to 1), ambiguous, foreign) for each row of docs; rk is its content key.
 
     lang_pred is und with score 0 for null texts, texts without a letter, and where the model has
-    no language. Each row gets a row, so repeats and null ids stay; an empty table gives no rows.
+    no language. Each row gets a row, so repeats and null ids stay; an empty table gives no rows;
+    other columns are not read, and texts do not come back from Python.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = packed(docs, text=F.col(f"`{text}`"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("rk"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in slices(batches, "text"):
             got = [m.predict(t) if m.languages else ("und", 0.0, False, False) for t in b.column("text").to_pylist()]
             cols = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column("_row"), *cols], ["_row", "lang_pred", "score", "ambiguous", "foreign"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), *cols], ["doc_id", "rk", "lang_pred", "score", "ambiguous", "foreign"])
 
-    return to_python(rows).mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean, foreign boolean")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return cut(rows.mapInArrow(run, f"doc_id {kind}, rk binary, lang_pred string, score double, ambiguous boolean, foreign boolean"), texts=True)
+
+
+def accepted(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 300_000) -> DataFrame:
+    """The rows of docs in a learned language: those without any letter, or far from every codeword, go. All columns are kept; texts stay where they are."""
+    rejected = cut(identify(docs, model, doc_id, text).where("lang_pred = 'und' OR foreign").select("rk").distinct())
+    rows = packed(docs, rk=row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    return bounded_join(rows, rejected, "rk", "left_anti", broadcast_rows, wide=True).select("_row.*")
 
 
 def may_learn(doc_id: str = "doc_id"):

@@ -43,8 +43,7 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = langid.may_learn()
     model = langid.fit(docs.where(learn))
-    got = langid.identify(docs.select("doc_id", "text"), model)
-    return got.select("_row.doc_id", "lang_pred", "score", "ambiguous").select("doc_id", (~learn).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return langid.identify(docs, model).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
