@@ -13,6 +13,8 @@ from __future__ import annotations
 import re._constants as sc
 import re._parser as sp
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,13 +187,12 @@ def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
     """(rk, rules): for each document the rules whose query its postings fulfil."""
     codes = {t: i for i, t in enumerate(sorted({t for q in queries.values() for c in q for t in c}))}
-    if len(codes) > 62:
-        held = index.groupBy("rk").agg(F.collect_set("trigram").alias("held"))
-        all_of = lambda c: F.forall(F.array(*[F.lit(t) for t in sorted(c)]), lambda t: F.array_contains("held", t))
-    else:  # a document's postings meet as one number with a bit for each trigram
-        bit = F.element_at(F.create_map(*[x for t, i in codes.items() for x in (F.lit(t), F.lit(1 << i).cast("long"))]), F.col("trigram"))
-        held = index.groupBy("rk").agg(F.bit_or(bit).alias("held"))
-        all_of = lambda c: F.col("held").bitwiseAND(F.lit(sum(1 << codes[t] for t in c)).cast("long")) == sum(1 << codes[t] for t in c)
+    # a document's postings meet as numbers with a bit for each trigram, 62 to a number
+    words = range(-(-len(codes) // 62))
+    bits = lambda ts, w: sum(1 << codes[t] % 62 for t in ts if codes[t] // 62 == w)
+    bit = F.create_map(*[x for t in codes for x in (F.lit(t), F.array(*[F.lit(bits([t], w)).cast("long") for w in words]))])
+    held = index.select("rk", F.element_at(bit, F.col("trigram")).alias("b")).groupBy("rk").agg(*[F.bit_or(F.col("b")[w]).alias(f"held{w}") for w in words])
+    all_of = lambda c: reduce(and_, [F.col(f"held{w}").bitwiseAND(F.lit(bits(c, w)).cast("long")) == bits(c, w) for w in words if bits(c, w)])
     each = []
     for kind, query in queries.items():
         test = None
@@ -227,7 +228,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
     if indexed:
         trigrams = sorted({t for q in indexed.values() for c in q for t in c})
         chosen = cut(candidates(postings(keyed, trigrams), indexed))
-        keyed = bounded_join(keyed, chosen, "rk", "left", broadcast_rows)
+        keyed = bounded_join(keyed, chosen, "rk", "left", broadcast_rows, wide=True)
     cols = []
     for i, r in enumerate(rules):
         own = _verified(F.col("text"), r)
