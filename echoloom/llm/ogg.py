@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, to_python
+from .common import cut, slices
 
 RATE, PACKET, AUDIO, NOTES = 8000, 4096, 0x50434D38, 0x4E4F5445
 _MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -174,4 +174,4 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return to_python(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, schema)
+    return cut(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema), texts=True)

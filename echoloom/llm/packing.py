@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_of, slices, to_python
+from .common import cut, pieces_of, slices
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, doc_id: str, text: str, en
 
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return to_python(named).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return named.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, remember: int = 800_000, slice_bytes: int = 3 << 20) -> DataFrame:
@@ -180,12 +180,13 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id
     An empty table gives no rows; other columns are not read. remember (pieces, twice) and
     slice_bytes bound a worker's memory at the cost of encoding more often; results don't depend on them.
     """
-    cuts = cut(pieces(docs, path, capacity, doc_id, text, end_id, remember, slice_bytes))
+    cuts = cut(pieces(docs, path, capacity, doc_id, text, end_id, remember, slice_bytes), texts=True)
     by_part = cut(cuts.groupBy("length", "part").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     slot = _slots(plan(counts, capacity), capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # a length may hold most pieces, but never more than a task's in one part: no key of the join is larger than a task was
     ranked = cuts.join(first, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, slices, to_python
+from .common import cut, pieces_of, slices
 
 #: A space before anything but white space. Python's \s has all that the vocabularies' patterns call white space.
 SAFE = re.compile(r" (?=[^\s᠎])")
@@ -85,4 +85,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sized = named.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    return to_python(sized).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return cut(sized.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long"), texts=True).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from echoloom.llm import langid, lattice, mixing, ogg, packing, pii, secrets, simhash, tokens, urls
+from echoloom.llm.common import bounded_join, cut, spread_join
 from echoloom.llm.graph import components
 from echoloom.llm.queries import URL_RULES, near_embeddings, vocabulary
 
@@ -108,6 +109,23 @@ def test_lattice_points_and_recall(spark):
     assert all(got[rows[i][0]] <= len(links[i]) for i in range(len(rows)))
 
 
+@pytest.mark.parametrize("rung", range(len(lattice.LADDER)))
+def test_lattice_ladder(rung):
+    """Each setting finds 0.99 of pairs at the least cosine, and unlike vectors meet so rarely that a row's comparisons stay bounded."""
+    most, p = lattice.LADDER[rung]
+    rng = np.random.default_rng(rung)
+    x, g = rng.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g -= (g * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    a, b = (lattice.cells(v, np.zeros(len(v), np.int64), p).reshape(len(v), -1) for v in (x, y))
+    assert np.mean([len(np.intersect1d(u, v)) > 0 for u, v in zip(a, b, strict=True)]) >= 0.99
+    z = lattice.cells(rng.normal(size=(6000, 64)), np.zeros(6000, np.int64), p)
+    met = sum((c * (c - 1)).sum() for t in range(p.tables) for c in [np.unique(z[:, t], return_counts=True)[1]]) / 6000 / 5999
+    assert met * (most or 10**9) <= 2500
+    assert lattice.lattice_for(most or 10**9) is p and (most is None or lattice.lattice_for(most + 1) is not p)
+
+
 # 2
 def test_mix(spark, sample):
     docs = sample.select("doc_id", "text", "source").unionAll(spark.createDataFrame([(None, "a b c", None), (-1, None, None), (-2, "", "zero"), (-3, "one", "É"), (-3, "one", "É")], "doc_id long, text string, source string"))
@@ -151,6 +169,28 @@ def test_mix(spark, sample):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_shuffled_joins_give_the_same(spark, sample):
+    """Every operator that may broadcast, with nothing broadcast."""
+    rows = [*enumerate(odd_texts() + ODD5 + ODD9, 10_000), (None, "a@b.co"), (10_000, "a@b.co"), (10_000, "a@b.co"), (1, None), (1, None)]
+    docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").unionAll(sample)
+    model = langid.fit(sample.where(langid.may_learn()))
+    for run in (
+        lambda **k: mixing.mix(docs, **k), lambda **k: mixing.mixed(docs, **k), lambda **k: pii.digest(pii.find(docs, **k)), lambda **k: pii.redact(docs, **k), lambda **k: secrets.digest(secrets.find(docs, **k)),
+        lambda **k: simhash.one_of_each(docs, **k), lambda **k: langid.accepted(docs, model, **k),
+    ):
+        few, none = run(), run(broadcast_rows=0)
+        assert few.columns == none.columns and Counter(map(tuple, few.collect())) == Counter(map(tuple, none.collect()))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_spread_join(spark, how):
+    left = cut(spark.createDataFrame([(1, i) for i in range(3000)] + [(i % 40, i) for i in range(200)] + [(None, -1)] * 30, "k long, v long"))
+    right = spark.createDataFrame([(k, k * 10, 3005 if k == 1 else 5) for k in range(0, 60, 1) if k % 3], "k long, w long, n long")
+    want = Counter(map(tuple, left.join(right.drop("n"), "k", how).collect()))
+    for got in (spread_join(left, right.drop("n"), "k", how), spread_join(left, right, "k", how, counted="n", total=3230), bounded_join(left, right, "k", how, 0, counted="n", wide=True)):
+        assert Counter(map(tuple, got.collect())) == want
+
+
 # 3
 def test_pack(spark, sample):
     from tokenizers import Tokenizer
@@ -261,9 +301,9 @@ def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.where(langid.may_learn()))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !"), (None, "der und die"), (4, "word " * 50_000)], "doc_id long, text string")
-    got = {r["_row"]["doc_id"]: r for r in langid.identify(odd.withColumn("score", F.lit("x")), model).collect()}
+    got = {r["doc_id"]: r for r in langid.identify(odd.withColumn("score", F.lit("x")), model).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[1]["score"] == 0 and got[None]["lang_pred"] in model.languages
-    held = langid.identify(docs.where(~langid.may_learn()), model).select("_row.lang", "lang_pred", "score").collect()
+    held = langid.identify(docs.where(~langid.may_learn()), model).join(docs.select("doc_id", "lang"), "doc_id").select("lang", "lang_pred", "score").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) >= 0.97 and all(0 <= r["score"] <= 1 for r in held)
     want = {r["doc_id"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
     assert {r["doc_id"] for r in docs.where(langid.may_learn()).select("doc_id").collect()} == want
@@ -299,6 +339,11 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0), URL_RULES).count() == 0
     more = urls.filter_urls(df, URL_RULES, more_edges=spark.createDataFrame([("http://alias.io/c", "http://org/es/"), (None, "x://y")], "url string, target string"))
     assert {r["page_id"]: r["verdict"] for r in more.collect()}[8] == "block"
+    no_scheme = urls.filter_urls(df, URL_RULES, more_edges=spark.createDataFrame([("http://bad.com/en/9", "no scheme"), ("nor here", "http://bad.com/en/9")], "url string, target string"), broadcast_rows=0)
+    assert Counter(map(tuple, no_scheme.collect())) == Counter(map(tuple, got))
+    tie = [("a.io", "/xy/", "block"), ("b.a.io", "/x", "allow")]  # as long as each other: allow wins
+    both = spark.createDataFrame([(1, "http://b.a.io/xy/z", "x" * 2_000_000 + "<link rel=canonical href='http://c.io/'>"), (2, "http://a.io/xy/", None), (3, "http://c.io/", None)], "page_id long, url string, html string")
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(both, tie).collect()} == {1: ("b.a.io/x", "allow"), 2: ("a.io/xy/", "block"), 3: (None, "allow")}
 
 
 # 8
@@ -470,8 +515,40 @@ def test_gray_hierarchy():
     assert sorted(zip(q.tolist(), leaf.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
     for a in codes[:40]:  # some layout brings any pair in reach together
         for b in (a ^ np.uint64(1 << 5), a ^ np.uint64(1 << 63 | 1 << 30)):
-            keys = [(simhash._permute(np.array([x]), order) >> np.uint64(64 - n))[0] for x in (a, b) for order, n in simhash._layouts(2)]
-            assert any(x == y for x, y in zip(keys[:9], keys[9:], strict=True))
+            for level in (1, 2, 3):
+                paths = simhash._layouts(2, level)
+                keys = [(simhash._permute(np.array([x]), order) >> np.uint64(64 - n))[0] for x in (a, b) for order, n in paths]
+                assert any(x == y for x, y in zip(keys[: len(paths)], keys[len(paths) :], strict=True))
+
+
+def test_full_nodes_are_divided(spark):
+    """Near codes crowd one node; divided again and again they are linked as brute force links them."""
+    rng = np.random.default_rng(2)
+    codes = np.unique(np.concatenate([rng.integers(0, 2**63, 200, dtype=np.uint64), np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64))]))
+    fps = [int(x) for x in codes.view(np.int64)]
+    want = roots([(a, b) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2], fps)
+    df = cut(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    for options in ({}, {"node": 16, "full": 20}, {"full": 50}, {"node": 16, "full": 20, "broadcast_rows": 0}):
+        assert roots([tuple(r) for r in simhash.links(df, 2, **options).collect()], fps) == want
+
+
+def test_upper_nodes_prune():
+    """At sf0.1, in the nodes of the shipped size, whole runs are dropped by the bits they share: few leaves are ever compared."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:3000]
+    codes = np.unique(np.array([simhash.fingerprint(t) for t in texts], np.int64).view(np.uint64))
+    order, n_key = simhash._layouts(2, 0, 1)[0]
+    codes = simhash._permute(codes, order)
+    tried, pairs = Counter(), 0
+    for half in (codes[codes >> np.uint64(63) == 0], codes[codes >> np.uint64(63) == 1]):
+        node = half[np.argsort(simhash._gray_rank(half))]
+        seen = []
+        simhash.search(simhash.hierarchy(node), node, 2, seen)
+        for k, n in enumerate(reversed(seen)):
+            tried[k] += n
+        pairs += len(node) ** 2
+    assert n_key == 1 and tried[0] < 0.5 * pairs and sum(tried.values()) < 0.6 * pairs, (tried, pairs)
 
 
 def test_similar_behind_failed_links(spark):
@@ -504,6 +581,27 @@ def test_similar_counts_a_repeated_line_once(spark):
     assert {r["doc_id"] for r in simhash.one_of_similar(docs_of(spark, rows)).collect()} == {1, 3}
 
 
+#: White space, marks, letters whose lower or normal form is special, signs and special strings.
+FUZZ = [*"abIi1.,-'!\"|<>$%éÉßñΣς", " ", " ", " ", "\n", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "\u200b", "\u180e", "\u0130", "\u0307", "\u0301", "\u0958", "\ufb1d", "\u01c5", "中", "𝔘", "ﬁ", "the ", "<|endoftext|>", "<|startoftext|>", "'s", "don't", "TÜRK\u0130, ", "  ", "\n\n\n"]
+
+
+@pytest.mark.parametrize("vocab", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_fuzz_against_the_library(vocab):
+    from tokenizers import Tokenizer
+
+    path = vocabulary(vocab)
+    r, t = random.Random(7), Tokenizer.from_file(path)
+    texts = ["".join(r.choice(FUZZ) for _ in range(r.randint(1, 16))) for _ in range(50_000)]
+    for i in range(0, len(texts), 5000):
+        want = [e.ids for e in t.encode_batch(texts[i : i + 5000], add_special_tokens=False)]
+        if vocab.startswith("byte"):
+            got, want = tokens.count(path, texts[i : i + 5000]), list(map(len, want))
+        else:
+            got = [np.frombuffer(x, "<u4").tolist() for x in packing.encode(path, texts[i : i + 5000])]
+        wrong = [(x, g, w) for x, g, w in zip(texts[i : i + 5000], got, want, strict=True) if g != w]
+        assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_tokens_where_other_white_space_offsets_runs():
     from tokenizers import Tokenizer
 
