@@ -17,7 +17,7 @@ from echoloom.llm.queries import vocabulary
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without any letter, or far from every codeword, go. Texts of few letters stay."""
     model = langid.fit(docs.where(langid.may_learn()))
-    return langid.identify(docs, model).where("lang_pred <> 'und' AND NOT foreign").select("_row.*")
+    return langid.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
