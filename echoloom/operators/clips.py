@@ -22,22 +22,29 @@ def chunk_energy(samples: DataFrame, rate: int) -> DataFrame:
     return samples.groupBy("clip_id", F.floor(F.col("idx") / chunk).alias("chunk")).agg(F.avg(F.col("v") * F.col("v")).alias("energy"))
 
 
+def _bounded(samples: DataFrame, rate: int, threshold_db: float) -> DataFrame:
+    """samples with n, first and last of their clip: windows over one dealing by clip, no join."""
+    chunk, level = max(1, rate // 100), db_to_linear(threshold_db)
+    fore, back = F.floor(F.col("idx") / chunk), F.floor((F.col("n") - 1 - F.col("idx")) / chunk)
+    x = sized(samples).withColumn("_fore", fore).withColumn("_back", back)
+    energy = lambda k: F.avg(F.col("v") * F.col("v")).over(Window.partitionBy("clip_id", k))
+    x = x.withColumn("_e", energy("_fore")).withColumn("_f", energy("_back")).withColumn("_c", F.count("*").over(Window.partitionBy("clip_id", "_back")))
+    first = F.min(F.when(F.col("_e") >= level, F.col("_fore") * chunk)).over(clip_window())
+    last = F.max(F.when((F.col("_f") >= level) & (F.col("_c") == chunk), F.col("n") - 1 - F.col("_back") * chunk)).over(clip_window())
+    x = x.withColumn("_first", first).withColumn("_last", last)
+    none = F.col("_first").isNull() | F.col("_last").isNull()
+    return x.select("clip_id", "idx", "v", "n", F.when(~none, F.col("_first")).alias("first"), F.when(~none, F.col("_last")).alias("last"))
+
+
 def silence_bounds(samples: DataFrame, rate: int, threshold_db: float) -> DataFrame:
     """(clip_id, n, first, last): bounds of what isn't silent, null where all is; the search for the end has its grid at the end."""
-    chunk, level = max(1, rate // 100), db_to_linear(threshold_db)
-    x = sized(samples)
-    fore = x.groupBy("clip_id", "n", F.floor(F.col("idx") / chunk).alias("k")).agg(F.avg(F.col("v") * F.col("v")).alias("e"))
-    first = fore.groupBy("clip_id", "n").agg(F.min(F.when(F.col("e") >= level, F.col("k") * chunk)).alias("first"))
-    back = x.withColumn("k", F.floor((F.col("n") - 1 - F.col("idx")) / chunk)).groupBy("clip_id", "n", "k").agg(F.avg(F.col("v") * F.col("v")).alias("e"), F.count("*").alias("c"))
-    last = back.groupBy("clip_id").agg(F.max(F.when((F.col("e") >= level) & (F.col("c") == chunk), F.col("n") - 1 - F.col("k") * chunk)).alias("last"))
-    none = F.col("first").isNull() | F.col("last").isNull()
-    return first.join(last, "clip_id").select("clip_id", "n", F.when(~none, F.col("first")).alias("first"), F.when(~none, F.col("last")).alias("last"))
+    return _bounded(samples, rate, threshold_db).where("idx = 0").select("clip_id", "n", "first", "last")
 
 
 def trim_silence(samples: DataFrame, rate: int, threshold_db: float, padding_ms: int) -> DataFrame:
     """(clip_id, idx, v) of what remains, numbered from 0; a silent clip becomes zeros of the padding's length."""
     pad = padding_ms * rate // 1000
-    x = samples.join(silence_bounds(samples, rate, threshold_db), "clip_id")
+    x = _bounded(samples, rate, threshold_db)
     start, end = F.greatest(F.lit(0), F.col("first") - pad), F.least(F.col("n") - 1, F.col("last") + pad)
     silent = F.col("first").isNull()
     kept = x.where(F.when(silent, F.col("idx") < F.least(F.lit(pad), F.col("n"))).otherwise((F.col("idx") >= start) & (F.col("idx") <= end)))
@@ -54,9 +61,8 @@ def levels(samples: DataFrame) -> DataFrame:
 
 
 def normalize_volume(samples: DataFrame, target_db: float, use_rms: bool = True) -> DataFrame:
-    level = F.col("rms" if use_rms else "peak")
-    x = samples.join(rms_peak(samples), "clip_id")
-    return x.select("clip_id", "idx", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("v") * gain(level, target_db))).alias("v"))
+    level = F.sqrt(F.avg(F.col("v") * F.col("v")).over(clip_window())) if use_rms else F.max(F.abs("v")).over(clip_window())
+    return samples.withColumn("_level", level).select("clip_id", "idx", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("v") * gain(F.col("_level"), target_db))).alias("v"))
 
 
 def resample_linear(samples: DataFrame, rate: int, target: int) -> DataFrame:

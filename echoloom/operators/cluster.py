@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import textwrap
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CompareConfig
-from ..runtime import settle
+from ..runtime import numbered, settle
 from . import compare as cmp
 from .index import similar_sets
 
@@ -102,17 +104,19 @@ def summary(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("n_groups"), total.alias("total_files"), (total - F.count("*")).alias("savings"))
 
 
+def _percent(mean):
+    return F.format_string("%.2f%%", F.floor(10000 * mean + 0.5) / 100)
+
+
 def csv_rows(groups: DataFrame) -> DataFrame:
     """group_no (from 1, in report order), similarity as a percentage and file, one row for each file."""
-    from pyspark.sql import Window
-
-    no = F.row_number().over(Window.orderBy(F.desc("avg_similarity"), "group_id"))
     files = "file_paths" if "file_paths" in groups.columns else "file_ids"
-    numbered = groups.withColumn("group_no", no)
-    return numbered.select("group_no", F.format_string("%.2f%%", F.floor(10000 * F.col("avg_similarity") + 0.5) / 100).alias("similarity"), F.explode(files).alias("file"))
+    placed = numbered(groups, [F.desc("avg_similarity"), F.col("group_id")], "group_no")
+    return placed.select((F.col("group_no") + 1).alias("group_no"), _percent(F.col("avg_similarity")).alias("similarity"), F.explode(files).alias("file"))
 
 
 def write_json(groups: DataFrame, path: str) -> None:
+    """Groups as JSON lines, written by the executors; ``report`` gives one array."""
     ordered(groups).write.mode("overwrite").json(path)
 
 
@@ -122,10 +126,28 @@ def write_csv(groups: DataFrame, path: str) -> None:
 
 
 def text_tree(groups: DataFrame) -> str:
-    """A tree of the groups for a terminal; a report for people, so groups come to the driver one by one."""
-    lines = []
-    for i, g in enumerate(ordered(groups).toLocalIterator(), 1):
-        files = g["file_paths"] if "file_paths" in g.asDict() else g["file_ids"]
-        lines.append(f"Group {i} ({100 * g['avg_similarity']:.2f}% similar):")
-        lines += [f"  {'└─' if f is files[-1] else '├─'} {f}" for f in files]
-    return "\n".join(lines)
+    return "\n".join(report(groups, "text"))
+
+
+def report(groups: DataFrame, form: str) -> Iterator[str]:
+    """Lines of a report: a text tree, one JSON array of groups, or CSV. For people, so groups come to the driver one by one, in order."""
+    rows = ordered(groups).toLocalIterator()
+    if form == "text":
+        for i, g in enumerate(rows, 1):
+            files = g["file_paths"] if "file_paths" in g.asDict() else g["file_ids"]
+            yield f"Group {i} ({100 * g['avg_similarity']:.2f}% similar):"
+            yield from (f"  {'└─' if k == len(files) - 1 else '├─'} {f}" for k, f in enumerate(files))
+    elif form == "json":
+        sep = "["
+        for g in rows:
+            own = {"fileIds": g["file_ids"], **({"filePaths": g["file_paths"]} if "file_paths" in g.asDict() else {}), "avgSimilarity": g["avg_similarity"]}
+            yield sep + "\n" + textwrap.indent(json.dumps(own, indent=2, ensure_ascii=False), "  ")
+            sep = ","
+        yield "[]" if sep == "[" else "]"
+    elif form == "csv":
+        quoted = lambda v: '"' + str(v).replace('"', '""') + '"'
+        yield "Group,Similarity,File"
+        for i, g in enumerate(rows, 1):
+            yield from (f"{i},{100 * g['avg_similarity']:.2f}%,{quoted(f)}" for f in (g["file_paths"] if "file_paths" in g.asDict() else g["file_ids"]))
+    else:
+        raise ValueError(f"no report form {form}")

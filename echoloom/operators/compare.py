@@ -64,14 +64,20 @@ def histogram_peak(gauss: DataFrame, c: CompareConfig) -> DataFrame:
 
 
 def correlation_alignment(pairs: DataFrame, fps: DataFrame, c: CompareConfig) -> DataFrame:
-    """(a, b, offset, similarity): best similarity over offsets -M..M in steps; the first of equals."""
-    m = c.max_alignment_offset
-    w = words(fps)
-    x = pairs.select("a", "b").join(w.select(F.col("file_id").alias("a"), F.col("pos").alias("i"), F.col("w").alias("wa")), "a").withColumn("off", F.explode(F.sequence(F.lit(-m), F.lit(m), F.lit(c.alignment_step))))
-    met = x.withColumn("j", F.col("i") + F.col("off")).where("j >= 0").join(w.select(F.col("file_id").alias("b"), F.col("pos").alias("j"), F.col("w").alias("wb")), ["b", "j"])
-    sims = met.groupBy("a", "b", "off").agg(F.count("*").alias("n"), F.sum(differing_bits(F.col("wa"), F.col("wb"))).alias("wrong"))
-    s = (32 * F.col("n") - F.col("wrong")) / (32 * F.col("n"))
-    return sims.groupBy("a", "b").agg(F.min(F.struct((-s).alias("s"), "off")).alias("x")).select("a", "b", F.col("x.off").alias("offset"), (-F.col("x.s")).alias("similarity"))
+    """(a, b, offset, similarity): best similarity over offsets -M..M in steps; the first of equals. Each pair's words meet once, in an Arrow batch."""
+    offs = range(-c.max_alignment_offset, c.max_alignment_offset + 1, c.alignment_step)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = []
+            for x, y in zip(b.column("data_a").to_numpy(zero_copy_only=False), b.column("data_b").to_numpy(zero_copy_only=False), strict=True):
+                one, other = np.asarray(x, np.uint32), np.asarray(y, np.uint32)
+                met = [(s, -o) for o in offs for s, _, n in [align.similarity_at(one, other, o)] if n]
+                best.append(max(met, default=(None, None)))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array([None if o is None else -o for _, o in best], pa.int64()), pa.array([s for s, _ in best], pa.float64())], ["a", "b", "offset", "similarity"])
+
+    found = with_data(pairs.select("a", "b"), fps).select("a", "b", "data_a", "data_b").mapInArrow(run, "a bigint, b bigint, offset bigint, similarity double")
+    return found.where("offset is not null")
 
 
 def best_alignment(pairs: DataFrame, fps: DataFrame, c: CompareConfig = CompareConfig()) -> DataFrame:  # noqa: B008

@@ -1,10 +1,48 @@
-"""Detection rates of modified files, by category and threshold."""
+"""Robustness: recordings are changed, fingerprinted and compared with what they were; detection rates by category and threshold."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import FINGERPRINT_RATE, CompareConfig
+from ..functions import align, modify, signal
+from ..sources import audio
+
+
+def comparisons(files: DataFrame, thresholds: tuple[float, ...] = modify.THRESHOLDS, algorithm: str = "hk32", c: CompareConfig = CompareConfig()) -> DataFrame:  # noqa: B008
+    """(file_path, category, value, threshold, similarity, detected): each file against each change of it, at each similarity threshold.
+
+    files: path, content. A clip and its changes meet where the clip is decoded, so nothing is
+    shuffled. A threshold also sets the quick filter, as in a scan at that threshold. Files that
+    can't be decoded give no rows.
+    """
+    words_of = audio.PROVIDERS[algorithm]
+    names = ["file_path", "category", "value", "threshold", "similarity", "detected"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    x, rate, _ = audio.decode(content)
+                except ValueError:
+                    continue
+                base, rows = None, []
+                for category, value, y, r in modify.sweep(x, rate):
+                    words = words_of(signal.resample(y, r, FINGERPRINT_RATE), FINGERPRINT_RATE).astype(np.uint32)
+                    base = words if base is None else base
+                    for t in thresholds:
+                        got = align.compare(base, words, replace(c, similarity_threshold=t))
+                        rows.append((path, category, value, t, got[0], bool(got[4])))
+                yield pa.RecordBatch.from_arrays([pa.array(col) for col in zip(*rows, strict=True)], names)
+
+    return files.select("path", "content").mapInArrow(run, "file_path string, category string, value double, threshold double, similarity double, detected boolean")
+
 
 def detection(pairs: DataFrame) -> DataFrame:
     """(category, threshold, total, detected, rate) of expected pairs: category, threshold, detected."""

@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FINGERPRINT_RATE, PreprocessConfig
 from ..functions import signal
+from ..runtime import numbered
 from ..schemas import CLIP, FINGERPRINT
 
 PROVIDERS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {}
@@ -33,27 +34,53 @@ def scan(spark: SparkSession, paths: str | list[str], extensions: tuple[str, ...
     return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*wanted))
 
 
-def decode(content: bytes) -> tuple[np.ndarray, int, int]:
-    """(interleaved samples in [-1, 1), rate, channels) of a PCM WAV of 8, 16, 24 or 32 bits; ValueError for anything else."""
+def header(content: bytes) -> tuple[wave.Wave_read, int, int, int, int]:
+    """(reader, sample width, rate, channels, frames) of a PCM WAV of 8, 16, 24 or 32 bits; ValueError for anything else. No sample is read."""
     try:
-        with wave.open(io.BytesIO(content)) as w:
-            raw, width, channels, rate, frames = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate(), w.getnframes()
+        w = wave.open(io.BytesIO(content))
     except (wave.Error, EOFError) as e:
         raise ValueError(f"not decodable: {e}") from None
-    if len(raw) != frames * width * channels or rate <= 0:
+    width, channels, rate, frames = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.getnframes()
+    if width not in (1, 2, 3, 4):
+        raise ValueError(f"{8 * width} bits")
+    if frames * width * channels > len(content) or rate <= 0 or channels <= 0:
         raise ValueError("cut off")
+    return w, width, rate, channels, frames
+
+
+def _samples(raw: bytes, width: int) -> np.ndarray:
     if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 2:
-        x = np.frombuffer(raw, "<i2").astype(np.float32) / 2**15
-    elif width == 3:
+        return (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    if width == 2:
+        return np.frombuffer(raw, "<i2").astype(np.float32) / 2**15
+    if width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = (((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000).astype(np.float32) / 2**23
-    elif width == 4:
-        x = (np.frombuffer(raw, "<i4") / 2**31).astype(np.float32)
-    else:
-        raise ValueError(f"{8 * width} bits")
-    return x, rate, channels
+        return (((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000).astype(np.float32) / 2**23
+    return (np.frombuffer(raw, "<i4") / 2**31).astype(np.float32)
+
+
+#: Bytes of samples decoded at a time.
+CHUNK = 1 << 20
+
+
+def decode(content: bytes, max_seconds: float | None = None, chunk: int = CHUNK) -> tuple[np.ndarray, int, int]:
+    """(mono samples in [-1, 1), rate, channels of the file), decoded in chunks and no further than max_seconds.
+
+    Each chunk holds whole frames and is mixed to mono at once, so the interleaved samples of a
+    file are never held together.
+    """
+    w, width, rate, channels, frames = header(content)
+    wanted = frames if max_seconds is None else min(frames, int(max_seconds * rate))
+    out, at = np.empty(wanted, np.float32), 0
+    step = max(1, chunk // (width * channels))
+    while at < wanted:
+        raw = w.readframes(min(step, wanted - at))
+        n = len(raw) // (width * channels)
+        if not n or len(raw) % (width * channels):
+            raise ValueError("cut off")
+        out[at : at + n] = signal.to_mono(_samples(raw, width), channels)
+        at += n
+    return out, rate, channels
 
 
 def encode(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
@@ -87,10 +114,9 @@ def clips(files: DataFrame, prepare: PreprocessConfig | None = None) -> DataFram
 
     def make(path: str, content: bytes) -> dict:
         try:
-            raw, rate, channels = decode(content)
+            x, rate, _ = decode(content)
         except ValueError as e:
             return {"file_path": path, "error": str(e)}
-        x = signal.to_mono(raw, channels)
         original = len(x) / rate
         if prepare is not None:
             x, rate = signal.prepare(x, rate, prepare)
@@ -100,15 +126,14 @@ def clips(files: DataFrame, prepare: PreprocessConfig | None = None) -> DataFram
 
 
 def metadata(files: DataFrame) -> DataFrame:
-    """(file_path, sample_rate, channels, frames, duration, supported) without the samples."""
+    """(file_path, sample_rate, channels, frames, duration, supported), from headers alone."""
     schema = "file_path string, sample_rate int, channels int, frames bigint, duration double, supported boolean"
 
     def make(path: str, content: bytes) -> dict:
         try:
-            raw, rate, channels = decode(content)
+            _, _, rate, channels, n = header(content)
         except ValueError:
             return {"file_path": path, "supported": False}
-        n = len(raw) // channels
         return {"file_path": path, "sample_rate": rate, "channels": channels, "frames": n, "duration": n / rate, "supported": True}
 
     return _each(files, make, schema)
@@ -138,10 +163,7 @@ def fingerprints(files: DataFrame, algorithm: str = "hk32", prepare: PreprocessC
 
     def make(path: str, content: bytes) -> dict:
         try:
-            raw, rate, channels = decode(content)
-            x = signal.to_mono(raw, channels)
-            if max_seconds is not None:
-                x = x[: int(max_seconds * rate)]
+            x, rate, _ = decode(content, max_seconds)
             original = len(x) / rate
             if prepare is not None:
                 x, rate = signal.prepare(x, rate, prepare)
@@ -155,4 +177,6 @@ def fingerprints(files: DataFrame, algorithm: str = "hk32", prepare: PreprocessC
             return {"file_path": path, "error": str(e)}
 
     made = _each(files, make, FINGERPRINT.removeprefix("file_id bigint, "))
-    return made.select((F.row_number().over(Window.orderBy("file_path")) - 1).cast("bigint").alias("file_id"), "file_path", "data", "sample_rate", "duration", "error")
+    # paths alone are put in order; fingerprints meet their numbers by path
+    ids = numbered(files.select(F.col("path").alias("file_path")).distinct(), [F.col("file_path")], "file_id")
+    return made.join(ids, "file_path").select("file_id", "file_path", "data", "sample_rate", "duration", "error")
