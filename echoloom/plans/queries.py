@@ -60,9 +60,9 @@ def candidate_pairs(spark, d):
 
 
 def candidates_for_file(spark, d):
+    """Searches of the files whose id is divisible by 20, against all files."""
     f = fps(spark, d)
-    lowest = f.join(f.agg(F.min("file_id").alias("file_id")), "file_id")
-    return index.candidates(f, C, lowest)
+    return index.candidates(f, C, f.where("file_id % 20 = 0"))
 
 
 def multi_source_scan(spark, d):
@@ -116,9 +116,9 @@ def _matches(spark, d, sliding: bool = False) -> DataFrame:
     return cmp.compare(pairs, f, C, sliding)
 
 
-def _shown(m: DataFrame) -> DataFrame:
+def _shown(m: DataFrame, *more: str) -> DataFrame:
     r = lambda c: F.round(c, 9).alias(c)
-    return m.select("a", "b", r("similarity_score"), F.col("best_offset").cast("bigint").alias("best_offset"), "matched_segments", r("bit_error_rate"), "is_duplicate")
+    return m.select("a", "b", r("similarity_score"), F.col("best_offset").cast("bigint").alias("best_offset"), "matched_segments", r("bit_error_rate"), "is_duplicate", *map(r, more))
 
 
 def compare_pairs(spark, d):
@@ -130,12 +130,12 @@ def duplicate_edges(spark, d):
 
 
 def sliding_compare(spark, d):
-    return _shown(_matches(spark, d, sliding=True))
+    return _shown(_matches(spark, d, sliding=True), "coverage_ratio")
 
 
 def segment_matches(spark, d):
     m = _matches(spark, d, sliding=True)
-    return m.select("a", "b", F.posexplode("segment_matches").alias("rank", "s")).select("a", "b", "rank", F.col("s.offset").alias("offset"), F.round("s.similarity", 9).alias("similarity"))
+    return m.select("a", "b", F.posexplode("segment_matches").alias("rank", "s")).select("a", "b", F.col("rank").cast("bigint").alias("rank"), F.col("s.offset").cast("bigint").alias("offset"), F.round("s.similarity", 9).alias("similarity"))
 
 
 def _groups(spark, d) -> DataFrame:
@@ -207,18 +207,12 @@ def doubling_decision(spark, d):
 
 
 def robustness_rates(spark, d):
-    return robustness.detection(_tests(spark, d)).select("category", "threshold", "total", "detected", F.round("rate", 6).alias("rate"))
-
-
-def _tests(spark, d) -> DataFrame:
-    """A stand-in sweep: labelled documents by source, held detected where quality reaches a threshold of their length."""
-    x = read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id").select(F.col("source").alias("category"), "quality", "toxic", "n_chars")
-    t = F.explode(F.array(*[F.lit(v) for v in (500, 1000, 2000, 4000)])).alias("threshold")
-    return x.select("category", "quality", "toxic", "n_chars", t).withColumn("detected", (F.col("n_chars") <= F.col("threshold")) | (F.col("quality") == 1))
+    """Clips against the same clips with silence, other volume, rate or speed, compared by the engine."""
+    return robustness.detection(robustness.comparisons(_wavs(spark, d))).select("category", "threshold", "total", "detected", F.round("rate", 6).alias("rate"))
 
 
 def robustness_buckets(spark, d):
-    r = robustness.by_category(robustness.detection(_tests(spark, d)))
+    r = robustness.by_category(settle(robustness.detection(robustness.comparisons(_wavs(spark, d)))))
     return r.select("category", *[F.round(c, 6).alias(c) for c in ("max_rate", "min_rate", "avg_rate")], "best_threshold", robustness.bucket(F.round("avg_rate", 6)).alias("bucket"))
 
 
@@ -317,8 +311,17 @@ l AS (SELECT clip_id, max(n - 1 - k * 4) FILTER (e >= {_LEVEL} AND c = 4) AS las
 bounds AS (SELECT clip_id, n, CASE WHEN last IS NOT NULL THEN first END AS first, CASE WHEN first IS NOT NULL THEN last END AS last FROM f JOIN l USING (clip_id))"""
 _TRIM = _BOUNDS + """, trimmed AS (SELECT s.clip_id, idx - CASE WHEN first IS NULL THEN 0 ELSE greatest(0, first - 4) END AS idx, CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE v END AS v
   FROM s JOIN bounds USING (clip_id) WHERE CASE WHEN first IS NULL THEN idx < least(4, n) ELSE idx >= greatest(0, first - 4) AND idx <= least(n - 1, last + 4) END)"""
-_TESTS = """tests AS (SELECT source AS category, CAST(threshold AS INTEGER) AS threshold, n_chars <= threshold OR quality = 1 AS detected FROM labels JOIN documents USING (doc_id), (VALUES (500), (1000), (2000), (4000)) v(threshold)),
-rates AS (SELECT category, threshold, count(*) AS total, CAST(sum(CAST(detected AS INTEGER)) AS BIGINT) AS detected, avg(CAST(detected AS INTEGER)) * 100 AS rate FROM tests GROUP BY 1, 2)"""
+_WINDOWS = _SIM + """, duo AS (SELECT a, b, x.data AS da, y.data AS db, len(x.data) AS n, len(y.data) AS m FROM sim JOIN fp x ON x.file_id = a JOIN fp y ON y.file_id = b WHERE len(x.data) >= 10 AND len(y.data) >= 10),
+starts AS (SELECT a, b, i, da, db, m FROM duo, unnest(generate_series(0, n - 60, 30)) u(i) WHERE n >= 60 AND m >= 60),
+tried AS (SELECT a, b, i, j, CAST(list_sum(list_transform(list_zip(da[i + 1 : i + 60], db[j + 1 : j + 60]), lambda z: bit_count(xor(z[1], z[2])))) AS BIGINT) AS bad FROM starts, unnest(generate_series(0, m - 60, 6)) w(j)),
+chosen AS (SELECT a, b, i, min(bad) AS bad, arg_min(j, bad * 1000000 + j) AS j FROM tried GROUP BY a, b, i),
+listed AS (SELECT a, b, CAST(j - i AS BIGINT) AS off, (1920 - bad) / 1920.0::DOUBLE AS s, row_number() OVER (PARTITION BY a, b ORDER BY bad, j - i) AS k FROM chosen WHERE (1920 - bad) / 1920.0::DOUBLE >= CAST(0.8 AS DOUBLE) * CAST(0.85 AS DOUBLE)),
+greedy(a, b, k, kept, last) AS (SELECT a, b, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false FROM (SELECT DISTINCT a, b FROM listed)
+  UNION ALL SELECT g.a, g.b, l.k, CASE WHEN len(list_filter(kept, lambda o: abs(o - l.off) <= 30)) = 0 THEN list_append(kept, l.off) ELSE kept END, len(list_filter(kept, lambda o: abs(o - l.off) <= 30)) = 0 FROM greedy g JOIN listed l ON l.a = g.a AND l.b = g.b AND l.k = g.k + 1),
+segs AS (SELECT a, b, row_number() OVER (PARTITION BY a, b ORDER BY k) - 1 AS rank, off, s FROM listed JOIN greedy USING (a, b, k) WHERE last)"""
+_SLIDE = _WINDOWS + """, score AS (SELECT a, b, sum(s * s) / sum(s) AS similarity_score, arg_min(off, rank) AS best_offset, count(*) AS matched_segments FROM segs GROUP BY 1, 2),
+top AS (SELECT a, b, similarity_score, best_offset, matched_segments, da, db, n, m, greatest(0, -best_offset) AS lo, least(n, m - best_offset) AS hi, least(60 * matched_segments, greatest(n, m)) / greatest(n, m)::DOUBLE AS coverage_ratio FROM score JOIN duo USING (a, b)),
+slid AS (SELECT *, CAST(list_sum(list_transform(list_zip(da[lo + 1 : hi], db[lo + best_offset + 1 : hi + best_offset]), lambda z: bit_count(xor(z[1], z[2])))) AS BIGINT) / (32.0::DOUBLE * (hi - lo)) AS ber FROM top)"""
 
 ORACLE: dict[str, str] = {
     "fp_words": f"WITH {_FP} SELECT file_id, pos, w FROM words",
@@ -327,7 +330,7 @@ ORACLE: dict[str, str] = {
     "hash_extract": f"WITH {_FP} SELECT file_id, pos, hash FROM post",
     "index_stats": f"WITH {_FP} SELECT count(DISTINCT file_id) AS file_count, count(DISTINCT hash) AS index_size, round(count(*) / count(DISTINCT hash)::DOUBLE, 6) AS mean_postings FROM post",
     "candidate_pairs": f"WITH {_SIM} SELECT a, b, hits FROM cand",
-    "candidates_for_file": f"WITH {_SIM} SELECT a.file_id AS a, b.file_id AS b, CAST(sum(a.n * b.n) AS BIGINT) AS hits FROM sets a JOIN sets b USING (hash) WHERE a.file_id = (SELECT min(file_id) FROM fp) GROUP BY ALL HAVING sum(a.n * b.n) >= 5",
+    "candidates_for_file": f"WITH {_SIM} SELECT a.file_id AS a, b.file_id AS b, CAST(sum(a.n * b.n) AS BIGINT) AS hits FROM sets a JOIN sets b USING (hash) WHERE a.file_id % 20 = 0 GROUP BY ALL HAVING sum(a.n * b.n) >= 5",
     "multi_source_scan": f"WITH {_FP.replace('FROM documents', 'FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -item_id - 1, text FROM benchmark)')} SELECT file_id < 0 AS from_benchmark, count(DISTINCT file_id) AS files, count(*) AS postings FROM post GROUP BY 1",
     "jaccard_filter": f"WITH {_SIM} SELECT a, b, round(overlap, 9) AS overlap FROM sim",
     "similarity_offset0": f"WITH {_SIM} SELECT a, b, round((32 * count(*) - sum(bit_count(xor(x.w, y.w)))) / (32.0::DOUBLE * count(*)), 9) AS similarity, round(sum(bit_count(xor(x.w, y.w))) / (32.0::DOUBLE * count(*)), 9) AS bit_error_rate, count(*) AS overlap FROM sim JOIN words x ON x.file_id = a JOIN words y ON y.file_id = b AND y.pos = x.pos GROUP BY a, b",
@@ -336,7 +339,7 @@ ORACLE: dict[str, str] = {
     "histogram_peak": f"WITH {_PEAK} SELECT a, b, peak_offset, round(height, 6) AS height FROM peak",
     "correlation_alignment": f"WITH {_SIM}{_SIMS} SELECT a, b, off AS offset, round(s, 9) AS similarity FROM corr",
     "best_alignment": f"WITH RECURSIVE {_MATCH} SELECT a, b, CAST(best AS BIGINT) AS best_offset, round(s, 9) AS similarity FROM scored",
-    "filter_candidates": f"WITH {_SIM} SELECT a, b, hits, round(overlap, 9) AS overlap FROM sim JOIN cand USING (a, b)",
+    "filter_candidates": f"WITH {_SIM} SELECT a, b, hits, round(overlap, 9) AS overlap FROM (SELECT a, b, hits, CAST(shared AS DOUBLE) / (x.s + y.s - shared) AS overlap FROM cand JOIN sz x ON x.file_id = a JOIN sz y ON y.file_id = b) WHERE overlap >= CAST(0.51 AS DOUBLE)",
     "compare_pairs": f"WITH RECURSIVE {_MATCH} SELECT a, b, round(similarity_score, 9) AS similarity_score, best_offset, matched_segments, round(bit_error_rate, 9) AS bit_error_rate, is_duplicate FROM match",
     "duplicate_edges": f"WITH RECURSIVE {_MATCH} SELECT a, b, round(similarity_score, 9) AS similarity_score, best_offset, matched_segments, round(bit_error_rate, 9) AS bit_error_rate, is_duplicate FROM match WHERE is_duplicate",
     "duplicate_groups": f"WITH RECURSIVE {_GROUP} SELECT group_id, array_to_string(ids, ',') AS file_ids, avg_similarity FROM groups",
@@ -353,8 +356,8 @@ ORACLE: dict[str, str] = {
     "resample_linear": f"WITH {_CLIP}, o AS (SELECT clip_id, n, unnest(generate_series(0, CAST(floor(n * 1.25) AS BIGINT) - 1)) AS idx FROM (SELECT DISTINCT clip_id, n FROM z)) SELECT o.clip_id, o.idx, round(a.v + (coalesce(b.v, a.v) - a.v) * (o.idx * 0.8 - floor(o.idx * 0.8 + 1e-9)), 9) AS v FROM o JOIN s a ON a.clip_id = o.clip_id AND a.idx = CAST(floor(o.idx * 0.8 + 1e-9) AS BIGINT) LEFT JOIN s b ON b.clip_id = o.clip_id AND b.idx = a.idx + 1",
     "quantize_int16": f"WITH {_CLIP} SELECT clip_id, idx, CAST(trunc(greatest(-1.0, least(1.0, v)) * 32767) AS BIGINT) AS q FROM s",
     "doubling_decision": f"WITH {_TRIM}, m AS (SELECT clip_id, count(*) AS m FROM trimmed GROUP BY 1), x AS (SELECT b.clip_id, n / 400.0::DOUBLE AS original, coalesce(m, 0) / 400.0::DOUBLE AS trimmed FROM bounds b LEFT JOIN m USING (clip_id)) SELECT *, CASE WHEN trimmed >= 3 THEN false WHEN trimmed / original >= 0.5 THEN true ELSE original >= 1.5 END AS doubled FROM x",
-    "robustness_rates": f"WITH {_TESTS} SELECT category, threshold, total, detected, round(rate, 6) AS rate FROM rates",
-    "robustness_buckets": f"WITH {_TESTS}, c AS (SELECT category, round(max(rate), 6) AS max_rate, round(min(rate), 6) AS min_rate, round(avg(rate), 6) AS avg_rate, max(threshold) FILTER (rate = top) AS best_threshold FROM (SELECT *, max(rate) OVER (PARTITION BY category) AS top FROM rates) GROUP BY 1) SELECT *, CASE WHEN avg_rate >= 90 THEN 'excellent' WHEN avg_rate >= 70 THEN 'good' WHEN avg_rate >= 50 THEN 'moderate' WHEN avg_rate >= 20 THEN 'poor' ELSE 'very poor' END AS bucket FROM c",
+    "segment_matches": f"WITH RECURSIVE {_WINDOWS} SELECT a, b, rank, off AS offset, round(s, 9) AS similarity FROM segs",
+    "sliding_compare": f"WITH RECURSIVE {_SLIDE} SELECT sim.a, sim.b, round(coalesce(similarity_score, 0), 9) AS similarity_score, coalesce(best_offset, 0) AS best_offset, coalesce(matched_segments, 0) AS matched_segments, round(coalesce(ber, 1), 9) AS bit_error_rate, coalesce(similarity_score >= 0.85::DOUBLE AND ber <= 0.15::DOUBLE AND coverage_ratio >= 0.5 AND matched_segments >= 3, false) AS is_duplicate, round(coalesce(coverage_ratio, 0), 9) AS coverage_ratio FROM sim LEFT JOIN slid ON slid.a = sim.a AND slid.b = sim.b",
     "memory_trend_slope": f"WITH {_CLIP} SELECT clip_id, round(regr_slope(v, idx), 9) AS slope FROM s GROUP BY 1",
 }
 ORACLE["groups_csv"] = f"SELECT group_no, similarity, unnest(ids) AS file FROM ({ORACLE['groups_csv']})"
