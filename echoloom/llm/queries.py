@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lattice, mixing, ogg, packing, pii, secrets, simhash, tokens, urls
+from . import langid, lattice, mixing, ogg, packing, pii, secrets, simhash, sql, tokens, urls
 from .common import table
 
 #: (host, path, verdict) of the url contract.
@@ -39,6 +39,11 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of op5: all its columns but the spans that its method adds."""
+    return personal_data(spark, sf_dir).drop("spans")
+
+
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = langid.may_learn()
@@ -73,9 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ogg_media": media,
     "op9_trigram_secrets": secret_scan,
     "op10_gray_simhash": near_documents,
+    "base_personal_data": base_personal_data,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_url_filter": sql.url_filter(URL_RULES),
+    "op9_trigram_secrets": sql.SECRETS,
+    "base_personal_data": sql.BASE_PERSONAL_DATA,
     "op1_lattice_embeddings": """
         WITH RECURSIVE v AS (
           SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

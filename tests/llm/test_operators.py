@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from echoloom.llm import langid, lattice, mixing, ogg, packing, pii, secrets, simhash, tokens, urls
+from echoloom.llm import langid, lattice, mixing, ogg, packing, pii, queries, secrets, simhash, sql, tokens, urls
 from echoloom.llm.common import bounded_join, cut, spread_join
 from echoloom.llm.graph import components
 from echoloom.llm.queries import URL_RULES, near_embeddings, vocabulary
@@ -296,6 +298,84 @@ def test_pii_bootstrap(spark):
     assert clean[0].asDict().keys() == {c.split()[0] for c in DOC.split(", ")}
 
 
+def plain_confidences(seen, b):
+    """The pattern graph scored by loops: {(kind, pattern): confidence} of the trusted patterns."""
+    edges = {(p, m): set() for _, m, ps in seen for p in ps}
+    for kind, m, ps in seen:
+        for p in ps:
+            edges[p, m].add(kind)
+    of = defaultdict(dict)  # (kind, pattern): {(instance, what it is): is a seed}
+    for (p, m), kinds in edges.items():
+        for own in kinds:
+            for k in pii.KINDS:
+                of[k, p][m, own] = own == k
+    of = {k: v for k, v in of.items() if sum(v.values()) >= b.seeds}
+    score = {k: {i: float(seed) for i, seed in v.items()} for k, v in of.items()}
+    for r in range(b.rounds):
+        trusted = {}
+        for k, v in score.items():
+            n, mean = len(v), sum(v.values()) / len(v)
+            z = b.z
+            c = (mean + z * z / (2 * n) - z * math.sqrt(mean * (1 - mean) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            if c >= b.confidence:
+                trusted[k] = c
+        if r == b.rounds - 1:
+            return trusted
+        left = defaultdict(lambda: 1.0)
+        for (kind, p), c in trusted.items():
+            for (m, _), seed in of[kind, p].items():
+                if not seed:
+                    left[kind, m] *= 1 - c
+        score = {(kind, p): {(m, own): 1.0 if seed else 1 - left[kind, m] for (m, own), seed in v.items()} for (kind, p), v in of.items()}
+
+
+@pytest.mark.parametrize("broadcast_rows", [300_000, 0])
+def test_pii_graph_against_loops(spark, broadcast_rows):
+    rng = random.Random(5)
+    seen = []
+    for i in range(900):
+        kind = rng.choice([*pii.KINDS, "", "email", "email"])
+        words = [w for w in ("to", "at", "call", "of") if rng.random() < (0.7 if (w, kind) in (("to", "email"), ("call", "phone"), ("to", "")) else 0.04)]
+        seen.append((kind, f"m{rng.randrange(500)}", [f"{w} _" for w in words]))
+    df = spark.createDataFrame([(k, m, p) for k, m, ps in seen for p in ps], "kind string, m string, pattern string")
+    for b in (pii.Bootstrap(), pii.Bootstrap(rounds=1), pii.Bootstrap(rounds=4, confidence=0.3, seeds=2)):
+        got = {(r["kind"], r["pattern"]): r["confidence"] for r in pii.confident_patterns(df, b, broadcast_rows).collect()}
+        want = plain_confidences(seen, b)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert got
+
+
+def test_pii_finds_planted_identifiers(spark):
+    """Unseen identifiers in contexts of seeds are found, numbers in other contexts and among real documents are not."""
+    rng = random.Random(6)
+    fill = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet elit sed do".split()) for _ in range(30))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, planted = [], set()
+    for i in range(60):
+        rows.append((100_000 + i, f"{fill()} reach me at +1 ({digits(3)}) 555-{digits(4)} during office hours {fill()}"))
+    for i in range(8):
+        planted.add(100_100 + i)
+        rows.append((100_100 + i, f"{fill()} reach me at {digits(4)}-{digits(4)}-{digits(2)} during office hours {fill()}"))
+    rows += [(100_200 + i, f"{fill()} invoice {digits(4)}-{digits(4)}-{digits(2)} was paid {fill()}") for i in range(40)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = pii.find(docs).where(F.size("more") > 0).collect()
+    assert {r["doc_id"] for r in found} == planted and all([x["kind"] for x in r["more"]] == ["like_phone"] for r in found)
+
+
+def test_sql(spark):
+    """op7, op9 and op5's base columns against their SQL; op7 also where pages have aliases."""
+    def same(con, name, d):
+        got, want = queries.QUERIES[name](spark, d), con.sql(queries.ORACLE[name])
+        assert sorted(got.columns) == sorted(want.columns)
+        assert Counter(tuple(r[c] for c in want.columns) for r in got.collect()) == Counter(want.fetchall())
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    for name in ("op7_url_filter", "op9_trigram_secrets", "base_personal_data"):
+        same(con, name, DATA)
+
+
 # 6
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -307,7 +387,11 @@ def test_language(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) >= 0.97 and all(0 <= r["score"] <= 1 for r in held)
     want = {r["doc_id"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
     assert {r["doc_id"] for r in docs.where(langid.may_learn()).select("doc_id").collect()} == want
-    assert langid.fit(docs.limit(0)).languages == []
+    assert langid.fit(docs.limit(0)).languages == [] and langid.identify(docs.limit(0), model).count() == 0 and langid.accepted(docs.limit(0), model).count() == 0
+    tied = langid.Model(["x", "y"], np.array([[1], [1]]), np.zeros((langid.BUCKETS, 1)), np.zeros(1), np.ones(1))
+    assert tied.predict("any words") == ("x", 0.5, True, False)  # equal losses: the first language, flagged
+    few = langid.fit(docs.where(langid.may_learn()), sample_rows=40)
+    assert few.languages == model.languages
     assert {r["lang_pred"] for r in langid.identify(odd, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
@@ -337,6 +421,9 @@ def test_urls(spark):
     assert of[6][2:] == (None, "block") == of[7][2:] and of[8][3] == "allow" and of[9][2:] == ("example.com/en/7", "allow")
     assert of[10][3] == "block" and of[11] == ("fine.io", "/1", None, "block") and of[12] == ("net", "", None, "allow") and of[13][:3] == ("a.net", "/de/8", "net/de/") and of[None][3] == "allow"
     assert urls.filter_urls(df.limit(0), URL_RULES).count() == 0
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}))
+    assert Counter(con.sql(sql.url_filter(URL_RULES)).fetchall()) == Counter(map(tuple, got))
     more = urls.filter_urls(df, URL_RULES, more_edges=spark.createDataFrame([("http://alias.io/c", "http://org/es/"), (None, "x://y")], "url string, target string"))
     assert {r["page_id"]: r["verdict"] for r in more.collect()}[8] == "block"
     no_scheme = urls.filter_urls(df, URL_RULES, more_edges=spark.createDataFrame([("http://bad.com/en/9", "no scheme"), ("nor here", "http://bad.com/en/9")], "url string, target string"), broadcast_rows=0)
@@ -377,15 +464,21 @@ def test_ogg_round_trip():
 
 
 def test_media(spark):
-    docs = docs_of(spark, [*enumerate(odd_texts()), (None, "null id")])
+    rows = [*enumerate(odd_texts()), (None, "null id"), (3, odd_texts()[3])]  # the last repeats id and text
+    docs = docs_of(spark, rows).coalesce(1)
     got = ogg.media_columns(docs, keep_media=True).collect()
-    assert len(got) == docs.count()
-    for r, (_, text) in zip(got, [*enumerate(odd_texts()), (None, "null id")], strict=True):
+    assert len(got) == docs.count() and Counter(r["doc_id"] for r in got)[3] == 2
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t)
+    for r in got:
+        text = texts[r["doc_id"]][0]
         data = (text or "").encode()
         padded = data + b"\0" * (-len(data) % 64 if data else 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest())
-    assert got[5]["feature"] == got[6]["feature"] and ogg.media_columns(docs.limit(0)).count() == 0
+    of = {r["doc_id"]: r for r in got}
+    assert of[5]["feature"] == of[6]["feature"] and ogg.media_columns(docs.limit(0)).count() == 0
 
 
 # 9

@@ -51,6 +51,24 @@ def test_stages(spark):
     assert {r["doc_id"] for r in five.collect()} == {r["doc_id"] for r in four.collect()}
 
 
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        assert out.count() == 0 and (name == "pack_sequences" or out.columns == docs.columns)
+
+
+def test_stages_on_repeated_rows(spark):
+    """Rows equal in every column: stages after the near-duplicates keep or mix each of them."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    twice = docs.unionAll(docs)
+    steps = dict(corpus_pipeline.STAGES)
+    assert steps["redact_pii"](spark, twice, DATA).count() == 40 and steps["near_dedup"](spark, twice, DATA).count() <= 20
+    mixed = steps["mix_sources"](spark, twice, DATA)
+    assert max(Counter(map(tuple, mixed.collect())).values()) <= 4
+    assert {r["doc_id"] for r in steps["pack_sequences"](spark, mixed, DATA).select("doc_id").distinct().collect()} == {r["doc_id"] for r in mixed.select("doc_id").distinct().collect()}
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 50
