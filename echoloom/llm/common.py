@@ -88,7 +88,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     right = right.drop(counted) if counted else right
     heavy = rows.where(F.col("_rows") > fair).select(*keys)
     if total > PLAIN and not small(heavy, 0):
-        heavy = cut(heavy)
+        heavy = cut(heavy.coalesce(1))  # fewer than eight times the partitions
         of_heavy = right.join(F.broadcast(heavy), keys, "left_semi")
     else:
         heavy = None
