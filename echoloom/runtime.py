@@ -44,16 +44,12 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with a column of numbers from 0 by the given order; rows that are equal in it get numbers in no set order.
 
     Rows are dealt out by ranges of the order and numbered within them; each range starts at the
-    count of rows before it. Only one count for each range comes to the driver.
+    count of rows before it. Only those counts, one for each range, meet in a task.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = settle(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, starts = 0, []
-    for part in sorted(counts):
-        starts.append((part, before))
-        before += counts[part]
-    first = F.broadcast(spark.createDataFrame(starts, "_part int, _first bigint"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    first = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.join(first, "_part").withColumn(name, F.col("_first") + place).drop("_part", "_first")
+    return dealt.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + place).drop("_part", "_first")
