@@ -300,7 +300,8 @@ class Wide:
     never. Each is filed in ``tables`` cells of ``key_bits`` bits, and in the ``probes`` - 1 cells
     that flipping its least certain key bits gives. A larger corpus wants more key bits, no more
     rows. Nodes above ``node_rows`` are split into pairs of chunks, texts with more than
-    ``text_links`` links are dealt out by salt.
+    ``text_links`` links are dealt out by salt. Texts behind failed links meet in chunks of
+    ``chunk`` bytes of shingles.
     """
 
     words: int = 4
@@ -310,6 +311,7 @@ class Wide:
     probes: int = 8
     node_rows: int = 16_384
     text_links: int = 256
+    chunk: int = 16 << 20
 
 
 #: Sets of at most three of the six least certain bits.
@@ -391,60 +393,32 @@ def _near(key: np.ndarray, sig: np.ndarray, radius: int) -> pa.RecordBatch:
     return _batch(sig, held[0][at], held[1][at])
 
 
-def _apart(key: np.ndarray, sig: np.ndarray, root: np.ndarray, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of different roots at distances from low to high within the nodes at hand."""
-    of = np.unique(root, axis=0, return_inverse=True)[1].reshape(-1)
-    first = np.searchsorted(key, key)
-    mixed = np.unique(key[of != of[first]])
-    some = np.isin(key, mixed)  # a node of a single root has nothing to add
-    key, sig, of = key[some], sig[some], of[some]
-    if not len(key):
-        return
-    order = _ordered(key, sig)
-    key, sig, of = key[order], sig[order], of[order]
-    for i, j, far in _within(key, sig, high):
-        want = (far >= low) & (of[i] != of[j])
-        if want.any():
-            yield _batch(sig, i[want], j[want])
-
-
-def _near_nodes(w: Wide, band: tuple[int, int] | None):
+def _near_nodes(w: Wide):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = w.words * (2 if band else 1)  # with a band, roots stand beside the fingerprints
-
-        def met(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if band:
-                yield from _apart(key, rows[:, : w.words], rows[:, w.words :], *band)
-            else:
-                yield _near(key, rows, w.radius)
-
-        key, rows, last = np.empty(0, np.int64), np.empty((0, wide), np.uint64), None
+        key, rows, last = np.empty(0, np.int64), np.empty((0, w.words), np.uint64), None
         for b in batches:
             part = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi")], 1)
             new = np.ones(len(part), bool)
             new[1:] = (part[1:] != part[:-1]).any(1)
             new[0] = last is None or (part[0] != last).any()
             key = np.concatenate((key, (key[-1] if len(key) else 0) + np.cumsum(new)))
-            rows = np.concatenate((rows, np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(-1, wide)))
+            rows = np.concatenate((rows, np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(-1, w.words)))
             last = part[-1]
-            if len(key) < 50_000:
-                continue
-            if whole := int(np.searchsorted(key, key[-1])):
-                yield from met(key[:whole], rows[:whole])
+            if len(key) >= 50_000 and (whole := int(np.searchsorted(key, key[-1]))):
+                yield _near(key[:whole], rows[:whole], w.radius)
                 key, rows = key[whole:], rows[whole:]
         if len(key):
-            yield from met(key, rows)
+            yield _near(key, rows, w.radius)
 
     return run
 
 
-def near_links(classes: DataFrame, w: Wide = Wide(), band: tuple[int, int] | None = None) -> DataFrame:  # noqa: B008
+def near_links(classes: DataFrame, w: Wide = Wide()) -> DataFrame:  # noqa: B008
     """(a, b): pairs of fingerprints that connect, at every distance up to the radius, what all pairs connect.
 
-    classes: distinct ``sig`` with its ``cells``. With a band (least and greatest distance): every
-    pair in it whose ``root``, a further column, differs.
+    classes: distinct ``sig`` with its ``cells``.
     """
-    filed = classes.select((F.concat("sig", "root") if band else F.col("sig")).alias("sig"), F.explode("cells").alias("key"))
+    filed = classes.select("sig", F.explode("cells").alias("key"))
     full = cut(filed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > w.node_rows))
     dealt = filed.select("key", "sig", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
     if not small(full, 0):
@@ -453,7 +427,7 @@ def near_links(classes: DataFrame, w: Wide = Wide(), band: tuple[int, int] | Non
         of = of.withColumn("part", F.pmod(F.xxhash64("sig"), "m").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         dealt = of.select("key", "sig", F.least("part", "i").alias("lo"), F.greatest("part", "i").alias("hi"))
     met = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return met.mapInArrow(_near_nodes(w, band), "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return met.mapInArrow(_near_nodes(w), "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _distinct(text: str | None, width: int) -> np.ndarray:
@@ -492,6 +466,88 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float, w: W
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def alike_of(sets: list[np.ndarray], root: list, ask: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges that join the roots of one node as all its pairs at similarity ``least`` or more would: fewer than there are texts.
+
+    sets: distinct shingles of each text. ask: the texts to compare with all others; pairs of two
+    texts that are not asked for are left out. Overlaps are counted through an index of shingles,
+    and only across what is not joined yet.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(size)
+    which = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(which, kind="stable")]
+    shared = np.bincount(which)
+    first = np.cumsum(shared) - shared
+    of, edges = np.unique(np.array(root, object), return_inverse=True)[1].reshape(-1), []
+    for i in np.flatnonzero(ask).tolist():
+        own = which[ends[i] - size[i] : ends[i]]
+        own = own[shared[own] > 1]
+        n = shared[own]
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(holders[at], minlength=len(sets))
+        near = np.flatnonzero((of != of[i]) & (both / np.maximum(1, size + size[i] - both) >= least))
+        for j in near.tolist():
+            if of[j] != of[i]:
+                of[of == of[j]] = of[i]
+                edges.append((i, j))
+    return edges
+
+
+def _alike_nodes(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(rows: list[tuple]) -> pa.RecordBatch:
+            sig, root, shingles, ask = zip(*rows, strict=True)
+            found = alike_of([np.frombuffer(x, np.uint64) for x in shingles], root, np.array(ask), least)
+            return pa.RecordBatch.from_arrays([pa.array([sig[e[k]] for e in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        held, at = [], None
+        for b in batches:
+            node = zip(*(b.column(c).to_pylist() for c in ("bundle", "lo", "hi")), strict=True)
+            rows = zip(*(b.column(c).to_pylist() for c in ("sig", "root", "shingles", "ask")), strict=True)
+            for here, row in zip(node, rows, strict=True):
+                if held and here != at:
+                    yield met(held)
+                    held = []
+                at = here
+                held.append(row)
+        if held:
+            yield met(held)
+
+    return run
+
+
+def _behind(member: DataFrame, rep: DataFrame, texts: DataFrame, width: int, least: float, w: Wide) -> DataFrame:
+    """(a, b): edges that join, within each bundle of linked fingerprints, all texts that chains of the similarity join.
+
+    member: sig, bundle, root (what is joined already). Only bundles of several roots are read, and
+    in those pairs of different roots are compared, inside tasks: a bundle is dealt out in chunks
+    of ``w.chunk`` bytes, of which those of its commonest root, the core, do not meet each other.
+    Rows that come out are fewer than the texts of each chunk pair.
+    """
+    tally = member.groupBy("bundle", "root").agg(F.count("*").alias("n"))
+    several = cut(tally.groupBy("bundle").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1").select("bundle", F.col("top.root").alias("top")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = [_distinct(t, width).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sig", "bundle", "root", "core")), pa.array(sets, pa.binary())], ["sig", "bundle", "root", "core", "shingles"])
+
+    split = cut(bounded_join(member, several, "bundle", "inner", 100_000).select("sig", "bundle", "root", (F.col("root") == F.col("top")).alias("core")))
+    whole = split.join(rep, "sig").join(texts, "rk").select("sig", "bundle", "root", "core", "text")
+    held = cut(whole.mapInArrow(run, "sig binary, bundle binary, root binary, core boolean, shingles binary"), texts=True)
+    size = F.octet_length("shingles") + 64
+    sizes = held.groupBy("bundle").agg(F.sum(size).alias("all"), F.sum(F.when(F.col("core"), size)).alias("in_core"))
+    one = F.col("all") <= w.chunk
+    chunks = cut(sizes.select("bundle", F.when(one, 1).otherwise(F.ceil((F.col("all") - F.col("in_core")) / w.chunk)).cast("int").alias("mr"), F.when(one, 0).otherwise(F.ceil(F.col("in_core") / w.chunk)).cast("int").alias("mc")))
+    parted = bounded_join(held, chunks, "bundle", "inner", 100_000)
+    in_core = F.col("core") & (F.col("mc") > 0)
+    part = F.when(in_core, F.col("mr") + F.pmod(F.xxhash64("sig"), F.col("mc"))).otherwise(F.pmod(F.xxhash64("sig"), F.col("mr"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(in_core, F.col("mr")).otherwise(F.col("mr") + F.col("mc")) - 1)
+    dealt = parted.withColumn("part", part).withColumn("i", F.explode(others)).select("sig", "bundle", "root", "shingles", F.least("part", "i").alias("lo"), F.greatest("part", "i").alias("hi"), (~F.col("core") & (F.col("part") <= F.col("i"))).alias("ask"))
+    return dealt.repartition("bundle", "lo", "hi").sortWithinPartitions("bundle", "lo", "hi").mapInArrow(_alike_nodes(least), "a binary, b binary")
+
+
 def _near_copies(docs: DataFrame, doc_id: str, text: str, width: int, least: float, w: Wide, broadcast_rows: int) -> DataFrame:
     """(rk, component): row keys with their component, named by its winner's row key."""
 
@@ -515,22 +571,17 @@ def _near_copies(docs: DataFrame, doc_id: str, text: str, width: int, least: flo
     wanted = cut(links.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(rep, "sig"))
     texts = cut(bounded_join(named.select("rk", "text"), wanted.select("rk").distinct(), "rk", "left_semi", broadcast_rows, wide=True).groupBy("rk").agg(F.first("text").alias("text")))
 
-    def alike(found: DataFrame) -> DataFrame:
-        one = cut(spread_join(found.select("a", "b"), rep.select(F.col("sig").alias("a"), F.col("rk").alias("ra")), "a"))
-        pairs = cut(spread_join(one, rep.select(F.col("sig").alias("b"), F.col("rk").alias("rb")), "b").select("a", "b", "ra", "rb"))
-        return cut(_verified(pairs, texts, width, least, w), texts=True)
-
-    good = alike(links)
+    one = cut(spread_join(links, rep.select(F.col("sig").alias("a"), F.col("rk").alias("ra")), "a"))
+    pairs = cut(spread_join(one, rep.select(F.col("sig").alias("b"), F.col("rk").alias("rb")), "b").select("a", "b", "ra", "rb"))
+    good = cut(_verified(pairs, texts, width, least, w), texts=True)
     joined = components(good, "a", "b")
     if not small(links.join(good, ["a", "b"], "left_anti"), 0):
-        # a link that fails may have stood for pairs that hold: all pairs not joined yet are tried, the nearer ones first
-        part = w.radius * 3 // 4
-        met = cut(each.join(wanted.select("sig"), "sig", "left_semi").select("sig", "cells"))
-        for band in ((0, part), (part + 1, w.radius)):
-            now = cut(met.join(joined, met.sig == joined.node, "left").select("sig", "cells", F.coalesce("component", "sig").alias("root")))
-            more = cut(near_links(now, w, band).join(links, ["a", "b"], "left_anti"), texts=True)
-            if not small(more, 0):
-                joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(alike(more)), "a", "b")
+        # a link that fails may have stood for pairs that hold, so texts that links connect and verified links do not are compared
+        bundles = components(links, "a", "b").withColumnRenamed("component", "bundle")
+        member = cut(bundles.join(joined, "node", "left").select(F.col("node").alias("sig"), "bundle", F.coalesce("component", "node").alias("root")))
+        more = cut(_behind(member, rep, texts, width, least, w), texts=True)
+        if not small(more, 0):
+            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
     rooted = cut(each.join(joined, each.sig == joined.node, "left").select("sig", "w", "n", F.coalesce("component", "sig").alias("root")))
     winners = cut(rooted.groupBy("root").agg(F.min("w").alias("w"), F.count("*").alias("m")).select("root", F.col("w.rk").alias("component"), "m"))
     of = cut(spread_join(rooted.select("sig", "n", "root"), winners, "root", counted="m").select("sig", "n", "component"))

@@ -555,7 +555,7 @@ def test_simhash(spark, sample):
     assert simhash.one_of_each(same).count() == 1
 
 
-@pytest.mark.parametrize("wide", [simhash.Wide(), simhash.Wide(node_rows=8, text_links=2)])
+@pytest.mark.parametrize("wide", [simhash.Wide(), simhash.Wide(node_rows=8, text_links=2, chunk=9000)])
 def test_similar(spark, wide):
     """Near copies with edits against brute-force similarities, whole and with nodes and busy texts split."""
     rng = np.random.default_rng(8)
@@ -644,7 +644,8 @@ def test_upper_nodes_prune():
     assert n_key == 1 and tried[0] < 0.5 * pairs and sum(tried.values()) < 0.6 * pairs, (tried, pairs)
 
 
-def test_similar_behind_failed_links(spark):
+@pytest.mark.parametrize("chunk", [16 << 20, 20_000])
+def test_similar_behind_failed_links(spark, chunk):
     """Texts that share most of a base: forest links that fail hide pairs that hold."""
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(f"b{k}" if rng.random() < 0.925 else f"x{i}y{k}" for k in range(300))) for i in range(150)]
@@ -652,7 +653,21 @@ def test_similar_behind_failed_links(spark):
     of = roots([(i, j) for i in range(150) for j in range(i + 1, 150) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], range(150))
     want = set(of.values())
     assert 10 < len(want) < 140
-    assert {r["doc_id"] for r in simhash.one_of_similar(docs_of(spark, rows), width=1).collect()} == want
+    assert {r["doc_id"] for r in simhash.one_of_similar(docs_of(spark, rows), width=1, wide=simhash.Wide(chunk=chunk)).collect()} == want
+
+
+def test_alike_of_joins_what_all_pairs_join():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(2, 30))
+        sets = [np.unique(rng.integers(0, 12, int(rng.integers(0, 12)))).astype(np.uint64) for _ in range(n)]
+        root = [b"%d" % r for r in rng.integers(0, n, n)]
+        ask = rng.random(n) < 0.7
+        alike = [(i, j) for i in range(n) for j in range(n) if i != j and ask[i] and len({*sets[i]} & {*sets[j]}) / max(1, len({*sets[i]} | {*sets[j]})) >= 0.5]
+        same = [(i, j) for i in range(n) for j in range(i) if root[i] == root[j]]
+        got = simhash.alike_of(sets, root, ask, 0.5)
+        assert set(got) <= set(alike) and len(got) < n
+        assert roots([*same, *got], range(n)) == roots([*same, *alike], range(n))
 
 
 def test_plan_looks_up_all_sums():
