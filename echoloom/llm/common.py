@@ -180,7 +180,7 @@ class Pieces:
     their batch. ``before`` is put before every piece. Values are lengths or little-endian ids.
     """
 
-    GENERATION, SHORT, CALL = 400_000, 48, 1 << 19
+    GENERATION, SHORT, CALL = 400_000, 48, 1 << 16
 
     def __init__(self, path: str, lengths: bool, before: str = ""):
         self.t, self.lengths, self.before = tokenizer(path), lengths, before

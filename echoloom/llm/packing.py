@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, doc_id: str, text: str, en
     return named.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, remember: int = 800_000, slice_bytes: int = 3 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, remember: int = 600_000, slice_bytes: int = 3 << 19) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece.
 
     path: a vocabulary file of the tokenizers library whose pre-tokenizer drops white space. A
