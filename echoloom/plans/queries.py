@@ -24,7 +24,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(text.fingerprints(read(spark, sf_dir, "documents")))
+    return settle(text.fingerprints(read(spark, sf_dir, "documents")), wide=True)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
