@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +35,7 @@ def comparisons(files: DataFrame, thresholds: tuple[float, ...] = modify.THRESHO
                 for category, value, y, r in modify.sweep(x, rate):
                     words = words_of(signal.resample(y, r, FINGERPRINT_RATE), FINGERPRINT_RATE).astype(np.uint32)
                     base = words if base is None else base
-                    for t in thresholds:
-                        got = align.compare(base, words, replace(c, similarity_threshold=t))
-                        rows.append((path, category, value, t, got[0], bool(got[4])))
+                    rows += [(path, category, value, t, got[0], bool(got[4])) for t, got in zip(thresholds, align.compare_at(base, words, c, thresholds), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(col) for col in zip(*rows, strict=True)], names)
 
     return files.select("path", "content").mapInArrow(run, "file_path string, category string, value double, threshold double, similarity double, detected boolean")

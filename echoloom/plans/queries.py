@@ -224,7 +224,9 @@ def memory_trend_slope(spark, d):
 
 def _wavs(spark, d) -> DataFrame:
     """Each clip as a WAV file's bytes, as a scan of files gives them; made on the executors."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     each = samples(spark, d).groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("s"))
+    each = each.repartition(parts, "clip_id")  # a number, so that few bytes of samples are not put together in one task of much work
 
     def run(batches):
         import numpy as np

@@ -70,6 +70,46 @@ def test_identity_and_shift():
     assert align.compare(a[:50], np.concatenate([words(200), a[:50], words(200)]), C) == align.NOTHING
 
 
+def test_thresholds_at_once(spark):
+    """One pass over all thresholds gives what each gives alone, and clips are spread over more tasks than their few bytes would get."""
+    from dataclasses import replace
+
+    from echoloom.plans.queries import _wavs
+
+    a = words(300)
+    for b in (a, np.concatenate([words(40), a]), np.where(RNG.random(300) < 0.3, words(300), a), words(300), a[:9]):
+        assert align.compare_at(a, b, C, modify.THRESHOLDS) == [align.compare(a, b, replace(C, similarity_threshold=t)) for t in modify.THRESHOLDS]
+    assert _wavs(spark, "/root/testdata/sf0.01").select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_offsets_at_once():
+    for n, m in ((1, 1), (5, 900), (900, 5), (400, 410), (9000, 8500), (3, 3)):
+        a, b = words(n), words(m)
+        s, k = align.similarities(a, b, align.steps(C))
+        assert [(x, y) for x, y in zip(s.tolist(), k.tolist(), strict=True)] == [(x, y) for x, _, y in (align.similarity_at(a, b, o) for o in align.steps(C))]
+
+
+def test_similar_sets_against_all_pairs(spark):
+    """Sets of 1 to 400 hashes, near copies of all degrees, copies, repeated words and one very common word, against all pairs."""
+    rng, made = random.Random(5), []
+    for _ in range(60):
+        base = [rng.randrange(2**32) for _ in range(rng.choice((1, 3, 8, 40, 150, 400)))]
+        for _ in range(rng.randrange(1, 6)):
+            made.append([7] * rng.randrange(3) + [w if rng.random() < rng.choice((1, 0.9, 0.7)) else rng.randrange(2**32) for w in base])
+    made += made[:20]
+    made = [x for x in made if x]
+    got = {(r["a"], r["b"]): (round(r["overlap"], 9), r["hits"]) for r in index.filter_candidates(spark.createDataFrame(list(enumerate(made)), "file_id long, data array<bigint>")).collect()}
+    count = [{h: [w & 0xFFFF for w in x].count(h) for h in {w & 0xFFFF for w in x}} for x in made]
+    want = {}
+    for j, y in enumerate(count):
+        for i, x in enumerate(count[:j]):
+            both = x.keys() & y.keys()
+            hits = sum(x[h] * y[h] for h in both)
+            if hits >= 5 and len(both) / (len(x) + len(y) - len(both)) >= C.quick_threshold:
+                want[i, j] = (round(len(both) / (len(x) + len(y) - len(both)), 9), hits)
+    assert got == want and len(want) > 100
+
+
 def test_three_offsets():
     blocks = [words(120) for _ in range(3)]
     a = np.concatenate(blocks)
