@@ -110,6 +110,19 @@ def test_similar_sets_against_all_pairs(spark):
     assert got == want and len(want) > 100
 
 
+def test_candidates_against_all_pairs(spark):
+    """Products of repeated postings, within and across blocks, for all pairs and for searches."""
+    rng = random.Random(6)
+    made = [[rng.choice((rng.randrange(40), rng.randrange(2**32))) for _ in range(rng.choice((1, 5, 30, 300)))] + [3] * rng.choice((0, 0, 2, 300)) for _ in range(80)]
+    fps = spark.createDataFrame(list(enumerate(made)), "file_id long, data array<bigint>")
+    count = [{h: [w & 0xFFFF for w in x].count(h) for h in {w & 0xFFFF for w in x}} for x in made]
+    hits = {(i, j): sum(x[h] * y.get(h, 0) for h in x) for i, x in enumerate(count) for j, y in enumerate(count)}
+    assert {(r["a"], r["b"]): r["hits"] for r in index.candidates(fps).collect()} == {k: n for k, n in hits.items() if n >= 5 and k[0] < k[1]}
+    assert {(r["a"], r["b"]): r["hits"] for r in index.candidates(fps, C, fps.where("file_id % 20 = 0")).collect()} == {k: n for k, n in hits.items() if n >= 5 and k[0] % 20 == 0}
+    plan = index.candidates(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan  # no row of two files is shuffled
+
+
 def test_three_offsets():
     blocks = [words(120) for _ in range(3)]
     a = np.concatenate(blocks)
