@@ -49,8 +49,12 @@ LADDER = (
 )
 
 
+#: The setting of any input, so that which pairs are found depends on the two vectors alone.
+SETTING = LADDER[1][1]
+
+
 def lattice_for(rows: int) -> Lattice:
-    """The setting for a label of that many distinct vectors."""
+    """The setting for a label of that many distinct vectors, for callers that give one by size; others find other pairs of the last 0.005."""
     return next(p for most, p in LADDER if most is None or rows <= most)
 
 
@@ -229,7 +233,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, lattice: Lattice |
     their component is their own vec_id (null if that is null, then kept is false). Vectors of
     different lengths are never compared. Rows that share a vec_id are one node of the components
     and each keep a row. Other columns are not read; an empty table gives no rows. Without a
-    lattice, LADDER gives one by the size of the largest label.
+    lattice, it is SETTING whatever the input, so a pair is found or not by its own two vectors.
     """
     kind = "<f8" if "double" in vectors.schema[embedding].dataType.simpleString() else "<f4"
     named = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("e"), F.col(f"`{label}`").alias("label"))
@@ -238,8 +242,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, lattice: Lattice |
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & some, F.lit(False))
     keyed = named.withColumn("h1", F.when(sound, F.xxhash64("label", "e"))).withColumn("h2", F.when(sound, F.hash("e", "label")))
     classes = cut(keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.first(F.xxhash64("label")).alias("lab"), F.min("vec_id").alias("c"), F.count("*").alias("n"), F.first("e").alias("e")))
-    if lattice is None:
-        lattice = lattice_for(classes.groupBy("lab").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
+    lattice = lattice or SETTING
     filed = classes.mapInArrow(_file(kind, lattice), "key long, h1 long, h2 int, lab long, c long, n long, e binary")
     full = cut(classes.mapInArrow(_keys_only(kind, lattice), "key long").groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > lattice.cell_rows))
     whole = filed.select("*", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("part"))

@@ -129,6 +129,19 @@ def test_lattice_ladder(rung):
 
 
 # 2
+def test_lattice_finds_the_same_pairs_in_any_input(spark):
+    """3,000 pairs at cosine 0.9301, alone and among 6,000 other rows of their label."""
+    rng = np.random.default_rng(12)
+    x, g = rng.normal(size=(2, 3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g -= (g * x).sum(1, keepdims=True) * x
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y, rng.normal(size=(6000, 64))]))]
+    some, every = (lattice.near_duplicates(spark.createDataFrame(rows[:n], "vec_id long, embedding array<double>, label int")).where("vec_id < 6000").collect() for n in (6000, 12000))
+    assert sorted(some) == sorted(every)
+    assert sum(r["n_links"] for r in some) >= 0.99 * 6000
+
+
 def test_mix(spark, sample):
     docs = sample.select("doc_id", "text", "source").unionAll(spark.createDataFrame([(None, "a b c", None), (-1, None, None), (-2, "", "zero"), (-3, "one", "É"), (-3, "one", "É")], "doc_id long, text string, source string"))
     got = mixing.mix(docs.withColumn("size", F.lit("x")), (3, 1, 2), 1.5, 2).collect()
