@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import CompareConfig
 from ..runtime import numbered, settle
 from . import compare as cmp
-from .index import similar_sets
+from .similar import linked
 
 
 def _greedy(links: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def pivots(edges: DataFrame, in_one_task: int = 1_000_000) -> DataFrame:
 
 def duplicate_edges(fps: DataFrame, c: CompareConfig = CompareConfig(), sliding: bool = False) -> DataFrame:  # noqa: B008
     """Match rows of all pairs that are duplicates. Pairs that fail the candidate test or the Jaccard filter are never scored."""
-    return cmp.compare(settle(similar_sets(fps, c)), fps, c, sliding).where("is_duplicate")
+    return cmp.compare(linked(fps, c), fps, c, sliding).where("is_duplicate")
 
 
 def duplicate_groups(fps: DataFrame, c: CompareConfig = CompareConfig(), sliding: bool = False) -> DataFrame:  # noqa: B008
@@ -80,7 +80,7 @@ def duplicate_groups(fps: DataFrame, c: CompareConfig = CompareConfig(), sliding
 
     Pairs that the quick filter rejects count 0 in the mean.
     """
-    matches = settle(cmp.compare(settle(similar_sets(fps, c)), fps, c, sliding).select("a", "b", "similarity_score", "is_duplicate"))
+    matches = settle(cmp.compare(linked(fps, c), fps, c, sliding).select("a", "b", "similarity_score", "is_duplicate"))
     of = settle(pivots(matches.where("is_duplicate")))
     within = matches.join(of.select(F.col("member").alias("a"), F.col("pivot").alias("pa")), "a").join(of.select(F.col("member").alias("b"), F.col("pivot").alias("pb")), "b").where("pa = pb")
     sums = within.groupBy(F.col("pa").alias("pivot")).agg(F.sum("similarity_score").alias("total"))

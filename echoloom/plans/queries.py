@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import MOST_WORDS, CompareConfig
 from ..functions.bits import differing_bits, is_valid, low16
-from ..operators import clips, cluster, index, robustness
+from ..operators import clips, cluster, index, robustness, similar
 from ..operators import compare as cmp
 from ..runtime import settle
 from ..sources import audio, text
@@ -74,9 +74,9 @@ def jaccard_filter(spark, d):
     return index.similar_sets(fps(spark, d), C).select("a", "b", F.round("overlap", 9).alias("overlap"))
 
 
-def _similar(spark, d) -> tuple[DataFrame, DataFrame]:
+def _similar(spark, d) -> tuple[similar.Links, DataFrame]:
     f = fps(spark, d)
-    return settle(index.similar_sets(f, C)), f
+    return similar.linked(f, C), f
 
 
 def similarity_offset0(spark, d):

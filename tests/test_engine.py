@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 from echoloom import api
 from echoloom.config import CompareConfig, PreprocessConfig, silence_handling
 from echoloom.functions import align, modify, signal
-from echoloom.operators import cluster, compare, index, robustness
+from echoloom.operators import cluster, compare, index, robustness, similar
 from echoloom.plans.queries import ORACLE, QUERIES
 from echoloom.runtime import numbered, settle
 from echoloom.sources import audio, text
@@ -112,12 +112,12 @@ def test_similar_sets_against_all_pairs(spark):
 
 @pytest.fixture(scope="module")
 def alike(spark):
-    """30 near copies of 2,000 words, three copies of the first and two unlike files, as fingerprints with their pairs."""
+    """30 near copies of 2,000 words, three copies (of two of them) and two unlike files, as fingerprints with their pairs."""
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**32, 2000, dtype=np.int64)
     made = [np.where(rng.random(2000) < 0.004 * k, rng.integers(0, 2**32, 2000, dtype=np.int64), base) for k in range(30)]
-    made += [made[0]] * 3 + [rng.integers(0, 2**32, 500, dtype=np.int64) for _ in range(2)]
-    made = [np.roll(x, k % 3) if 0 < k < 30 else x for k, x in enumerate(made)]
+    made = [np.roll(x, k % 3) for k, x in enumerate(made)]
+    made += [made[0], made[0], made[7]] + [rng.integers(0, 2**32, 500, dtype=np.int64) for _ in range(2)]
     f = settle(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(made)], "file_id long, data array<bigint>"))
     return made, f, settle(index.similar_sets(f, C))
 
@@ -141,8 +141,8 @@ def test_words_of_near_copies_move_once(spark, alike):
     assert shuffled(spark) - before < 1_000_000
 
 
-@pytest.mark.parametrize("words, most", [(8_000_000, 50_000), (20_000, 50_000), (20_000, 7), (8_000_000, 2)])
-def test_pairs_in_cells_against_loops(spark, alike, monkeypatch, words, most):
+@pytest.mark.parametrize("words, most, of_links", [(8_000_000, 50_000, False), (20_000, 7, False), (8_000_000, 50_000, True), (20_000, 7, True), (8_000_000, 2, True)])
+def test_pairs_in_cells_against_loops(spark, alike, monkeypatch, words, most, of_links):
     """Copies, cells cut by files and by pairs, several rows for a pair and pairs without rows."""
     monkeypatch.setattr(compare, "CELL_WORDS", words)
     monkeypatch.setattr(compare, "CELL_PAIRS", most)
@@ -150,6 +150,8 @@ def test_pairs_in_cells_against_loops(spark, alike, monkeypatch, words, most):
     ids = sorted((r["a"], r["b"]) for r in pairs.collect())
     u = [x.astype(np.uint32) for x in made]
     assert len(ids) == 33 * 32 // 2
+    if of_links:
+        pairs = similar.linked(f, C)
     assert sorted((r["a"], r["b"], r["best_offset"]) for r in compare.best_alignment(pairs, f, C).collect()) == [(a, b, align.best_offset(u[a], u[b], C)) for a, b in ids]
     hist = {(a, b): align.offset_histogram(u[a], u[b], C.max_alignment_offset) for a, b in ids}
     assert sorted(compare.offset_histogram(pairs, f, C).collect()) == [(a, b, int(o) - 360, int(h[o])) for (a, b), h in sorted(hist.items()) for o in np.flatnonzero(h)]
