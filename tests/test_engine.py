@@ -3,7 +3,9 @@
 import io
 import json
 import random
+import time
 import wave
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -16,7 +18,7 @@ from echoloom.config import CompareConfig, PreprocessConfig, silence_handling
 from echoloom.functions import align, modify, signal
 from echoloom.operators import cluster, compare, index, robustness, similar
 from echoloom.plans.queries import ORACLE, QUERIES
-from echoloom.runtime import numbered, settle
+from echoloom.runtime import numbered, settle, shared_folder
 from echoloom.sources import audio, text
 from echoloom.streaming.ingest import append_postings
 
@@ -149,6 +151,59 @@ def test_rows_without_ids(spark, alike, monkeypatch, marks):
     assert sorted(r[0] for r in similar.without(alike[1].select("file_id"), ids).collect()) == [i for i in range(len(alike[0])) if i not in (3, 30)]
 
 
+def test_filter_candidates_stores_no_words(spark, tmp_path):
+    """Sets of hashes take 1 to 1.5 bytes a word, words 4.2; files with the same words in another order are pairs too."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 3000))) for k in range(100)]
+    rows += [(100, "a b c " * 40), (101, "b c a " * 39 + "b c a b c"), (102, None), (103, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = size()
+    got = QUERIES["filter_candidates"](spark, str(tmp_path)).collect()
+    assert 0 < size() - before < 2 * 100 * 3000
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(ORACLE["filter_candidates"])
+    assert plain([r.asDict() for r in got], want.columns) == plain([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()], want.columns) != []
+
+
+def test_waves_of_blocks(spark, monkeypatch):
+    """Blocks in several waves and in one give the same pairs, and what a wave shuffled is gone after it."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**32, 3000, dtype=np.int64)
+    made = [np.where(rng.random(m) < 0.05, rng.integers(0, 2**32, m, dtype=np.int64), base[:m]).tolist() for m in range(1000, 3000, 20)]
+    f = settle(spark.createDataFrame(list(enumerate(made)), "file_id long, data array<bigint>"))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    listed = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())
+    kept = lambda: {x.getName().split("_")[1] for x in listed() if x.getName().startswith("shuffle_")}
+    got = []
+    for wave in (2, 10**6):
+        monkeypatch.setattr(similar, "WAVE", wave)
+        before = kept()
+        got.append(sorted(map(tuple, similar.similar_classes(similar.hash_sets(f), C).collect())))
+        for _ in range(50):
+            if len(kept() - before) <= 1:
+                break
+            time.sleep(0.2)
+        assert len(kept() - before) <= 1  # that of the counts of hashes
+    assert got[0] == got[1] and len(got[0]) > 1000
+
+
+def test_blocks_are_dealt_in_bounded_waves():
+    """Every block is in one wave; a wave takes at most WAVE times all hashes, however many blocks each set goes to."""
+    sizes = np.zeros(similar.HASHES + 1, np.int64)
+    sizes[200:4000] = 200
+    _, ranges, lower = similar._blocks(sizes, C.quick_threshold)
+    waves = similar._waves(sizes, ranges, lower)
+    held = [int((sizes * np.arange(len(sizes)))[low : high + 1].sum()) for low, high, _ in ranges]
+    dealt = [sum(held[p] for p, qs in enumerate(lower) if q in qs) for q, (_, _, parts) in enumerate(ranges) for _ in range(parts)]
+    assert sum(dealt) > 3 * similar.WAVE * sum(held)
+    assert [k for first, end in waves for k in range(first, end)] == list(range(len(dealt)))
+    assert len(waves) < sum(dealt) / (similar.WAVE * sum(held)) * 1.5 + 1
+    assert all(sum(dealt[first:end]) <= similar.WAVE * sum(held) for first, end in waves)
+
+
 @pytest.mark.parametrize("words, most, of_links", [(8_000_000, 50_000, False), (20_000, 7, False), (8_000_000, 50_000, True), (20_000, 7, True), (8_000_000, 2, True)])
 def test_pairs_in_cells_against_loops(spark, alike, monkeypatch, words, most, of_links):
     """Copies, cells cut by files and by pairs, several rows for a pair and pairs without rows."""
