@@ -446,6 +446,19 @@ def test_urls(spark):
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(both, tie).collect()} == {1: ("b.a.io/x", "allow"), 2: ("a.io/xy/", "block"), 3: (None, "allow")}
 
 
+def test_url_rules(spark):
+    """op7's rules word for word as its contract lists them, and its rows against the SQL function given those."""
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{verdict} {h}{p}" for h, p, verdict in URL_RULES] == contract.split(", ")
+    got = queries.url_filter(spark, DATA).collect()
+    net = [r for r in got if r["rule"] == "net/de/"]
+    assert net and all(r["verdict"] == "allow" for r in net)
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    assert Counter(con.sql(sql.url_filter(URL_RULES)).fetchall()) == Counter(map(tuple, got))
+
+
 # 8
 def slow_crc(data):
     r = 0
