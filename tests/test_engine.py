@@ -5,6 +5,7 @@ import json
 import random
 import time
 import wave
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -16,7 +17,7 @@ import __spark_entry__ as entry
 from echoloom import api
 from echoloom.config import CompareConfig, PreprocessConfig, silence_handling
 from echoloom.functions import align, modify, signal
-from echoloom.operators import cluster, compare, index, robustness, similar
+from echoloom.operators import cluster, compare, index, product, robustness, similar
 from echoloom.plans.queries import ORACLE, QUERIES
 from echoloom.runtime import numbered, settle, shared_folder
 from echoloom.sources import audio, text
@@ -237,6 +238,24 @@ def test_candidates_against_all_pairs(spark):
     assert "Join" not in plan and "HashAggregate" not in plan  # no row of two files is shuffled
 
 
+@pytest.mark.parametrize("block", [8_000_000, 150])
+def test_candidates_shuffle_no_sets(spark, monkeypatch, block):
+    """Few or many chunks, one file in several rows, searches; what is stored does not grow with the number of chunks and nothing is shuffled."""
+    monkeypatch.setattr(product, "BLOCK", block)
+    rng = random.Random(7)
+    made = [(k // 2 if k > 76 else k, [rng.randrange(400) for _ in range(rng.choice((0, 4, 60, 200)))] + [9] * rng.choice((0, 300))) for k in range(80)]
+    fps = spark.createDataFrame(made, "file_id long, data array<bigint>")
+    count = [(i, Counter(w & 0xFFFF for w in x)) for i, x in made]
+    hits = Counter((i, j, sum(x[h] * y[h] for h in x)) for i, x in count for j, y in count)
+    pairs, found = index.candidates(fps), index.candidates(fps, C, fps.where("file_id % 20 = 0"))
+    assert Counter(map(tuple, pairs.collect())) == Counter({k: n for k, n in hits.items() if k[2] >= 5 and k[0] < k[1]})
+    assert Counter(map(tuple, found.collect())) == Counter({k: n for k, n in hits.items() if k[2] >= 5 and k[0] % 20 == 0})
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    chunks = product._chunks(fps)
+    assert chunks.agg(F.sum(F.length("counts")), F.sum(F.length("ids"))).first()[:] == (sum(len(x) * (4 if max(x.values()) > 255 else 1) for _, x in count if x), 8 * sum(bool(x) for _, x in count))
+
+
 def test_three_offsets():
     blocks = [words(120) for _ in range(3)]
     a = np.concatenate(blocks)
