@@ -23,11 +23,16 @@ GRID: dict[str, tuple[float, ...]] = {
 THRESHOLDS = (0.95, 0.90, 0.85, 0.80, 0.75, 0.70, 0.65, 0.60)
 
 
+def silence(n: int, rate: int, category: str, value: float) -> tuple[int, int]:
+    """(place, length) in samples of the silence put into a clip of n samples."""
+    return {"silence_start": 0, "silence_end": n, "silence_middle": n // 2}[category], int(value * rate)
+
+
 def modified(x: np.ndarray, rate: int, category: str, value: float) -> tuple[np.ndarray, int]:
     """(samples, rate) of a mono clip after one change. Speed changes length and pitch; a rate change keeps both."""
     if category.startswith("silence"):
-        gap, at = np.zeros(int(value * rate), x.dtype), {"silence_start": 0, "silence_end": len(x), "silence_middle": len(x) // 2}[category]
-        return np.concatenate([x[:at], gap, x[at:]]), rate
+        at, gap = silence(len(x), rate, category, value)
+        return np.concatenate([x[:at], np.zeros(gap, x.dtype), x[at:]]), rate
     if category.startswith("volume"):
         return np.clip(x * value, -1, 1), rate
     if category == "sample_rate":

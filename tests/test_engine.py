@@ -468,6 +468,20 @@ def test_robustness(spark, clips):
     assert best["original"]["min_rate"] == 100 and best["original"]["best_threshold"] == 0.95
 
 
+@pytest.mark.parametrize("n, loud", [(0, 0.1), (3000, 0.1), (4607, 0.3), (4608, 0.3), (9000, 0.6), (20000, 0.02), (20000, 0.0), (30011, 0.3)])
+def test_changes_share_frames(monkeypatch, n, loud):
+    """hk32's words of a clip's changes, with frames in common transformed once, are those of each change made and transformed by itself."""
+    rng = np.random.default_rng(n)
+    x = audio.decode(audio.encode(np.concatenate([rng.normal(size=n // 2) * loud, np.sin(np.arange(n - n // 2) / 7) * loud]), 11025))[0]
+    want, done, bands = list(robustness._changed(x, 11025, audio.band_differences)), [0], audio.bands
+    monkeypatch.setattr(audio, "bands", lambda f, rate: (done.__setitem__(0, done[0] + len(f)), bands(f, rate))[1])
+    got = list(robustness._hk32(x))
+    assert [(c, v, w.tolist()) for c, v, w in got] == [(c, v, w.tolist()) for c, v, w in want] and len(got) == 32
+    assert n < 9000 or done[0] < 0.7 * sum(len(w) + 1 for _, _, w in want)
+    once = [(v, signal.there_and_back(x, 11025, v).tolist()) for v in (8000, 11025, 22050, 48000)]
+    assert once == [(v, signal.resample(signal.resample(x, 11025, v), v, 11025).tolist()) for v, _ in once]
+
+
 def test_stream(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(30)
     docs.write.parquet(str(tmp_path / "in"))
